@@ -1,6 +1,6 @@
 """The opN_<name> queries and, where SQL can express one on whole tables, its DuckDB SQL."""
 
-from docloom.llm import bpe, chat, packing
+from docloom.llm import bpe, chat, packing, substring
 
-QUERIES = {f.__name__: f for f in (bpe.op2_bpe, packing.op4_packing, chat.op9_chat_format)}
-ORACLES = {"op9_chat_format": chat.ORACLE}
+QUERIES = {f.__name__: f for f in (bpe.op2_bpe, packing.op4_packing, substring.op8_substring_dedup, chat.op9_chat_format)}
+ORACLES = {"op8_substring_dedup": substring.ORACLE, "op9_chat_format": chat.ORACLE}
