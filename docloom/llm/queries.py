@@ -1,6 +1,11 @@
 """The opN_<name> queries and, where SQL can express one on whole tables, its DuckDB SQL."""
 
-from docloom.llm import bpe, chat, jaccard, packing, substring
+from docloom.llm import bpe, chat, jaccard, packing, quality, secrets, substring
 
-QUERIES = {f.__name__: f for f in (bpe.op2_bpe, packing.op4_packing, substring.op8_substring_dedup, chat.op9_chat_format, jaccard.op10_jaccard_join)}
-ORACLES = {"op10_jaccard_join": jaccard.ORACLE, "op8_substring_dedup": substring.ORACLE, "op9_chat_format": chat.ORACLE}
+QUERIES = {f.__name__: f for f in (bpe.op2_bpe, secrets.op3_secret_scan, packing.op4_packing, quality.op6_quality_rules, substring.op8_substring_dedup, chat.op9_chat_format, jaccard.op10_jaccard_join)}
+ORACLES = {
+    "op6_quality_rules": quality.ORACLE,
+    "op8_substring_dedup": substring.ORACLE,
+    "op9_chat_format": chat.ORACLE,
+    "op10_jaccard_join": jaccard.ORACLE,
+}
