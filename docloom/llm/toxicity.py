@@ -8,8 +8,8 @@ classes; the linear machine on their Nyström features is folded into one weight
 hashed subsequence, which is the same function and scores a text in one pass.
 
 Training is on labelled sentences: sentences inherit their document's label; units that are
-over-represented in distinct sentences of toxic documents are positives, units of clean
-sentences negatives. A logistic model on a document's hits then gives its score. The
+over-represented in toxic sentences, counted by different surroundings, are positives (also
+shown with foreign characters put in), units of clean sentences negatives. A logistic model on a document's hits then gives its score. The
 sample is bounded: for each label one document of at most SAMPLE_CHARS characters in each of SLOTS
 hash slots of doc_id. Without labels of both classes every score is 0.
 
@@ -20,7 +20,8 @@ hits; repeated rows score alike, a null doc_id is never trained on, other column
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +35,20 @@ from docloom.llm.common import mix, table, text_slices, words_of
 SPAN, DECAY, DIMENSION = 5, 0.6, 1 << 18
 #: Training documents for each label, their greatest length, landmarks for each class, negatives in training.
 SLOTS, SAMPLE_CHARS, LANDMARKS, NEGATIVES = 3000, 20_000, 160, 6000
-#: A positive unit: distinct toxic sentences, and odds against clean ones.
-LEAST_SENTENCES, LEAST_ODDS = 4, 6.0
+#: A positive unit: different surroundings in toxic sentences, at least and for each toxic document, and odds against clean ones; most of them.
+LEAST_CONTEXTS, LEAST_SHARE, LEAST_ODDS, POSITIVES = 5, 0.01, 5.0, 400
+#: The decision of a unit that shares nothing with any landmark.
+BIAS = -0.5
+#: A unit is normalised as if it had this many characters at least, so that fragments weigh less.
+SHORT = 5
+#: Decisions from which a unit counts as a hit, in part and in full.
+HIT, FULL = 0.4, 1.0
 PLACES = tuple((a, b) for b in range(2, SPAN) for a in range(1, b))
 
 
+LEAST_NORM = sum(max(0, SHORT + 2 - b) * DECAY ** (2 * b + 2) for _, b in PLACES)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
@@ -65,9 +75,21 @@ def units_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return codes[keep], np.repeat(unit, size), rows[firsts], (np.cumsum(size) - size)[firsts]
 
 
+def bounded(codes: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The units' characters with a mark before and after each unit."""
+    if not len(codes):
+        return codes.astype(np.uint64), units
+    m = int(units[-1]) + 1
+    out = np.full(len(codes) + 2 * m, 2, dtype=np.uint64)
+    out[np.arange(len(codes)) + 2 * units + 1] = codes
+    size = np.bincount(units, minlength=m) + 2
+    out[np.cumsum(size) - 1] = 3
+    return out, np.repeat(np.arange(m), size)
+
+
 def subsequences(codes: np.ndarray, units: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """(hashed subsequence, its unit, weight) for each spread of three characters."""
-    c = codes.astype(np.uint64)
+    """(hashed subsequence, its unit, weight) for each spread of three characters, ends included."""
+    c, units = bounded(codes, units)
     for a, b in PLACES:
         if len(c) <= b:
             continue
@@ -76,16 +98,38 @@ def subsequences(codes: np.ndarray, units: np.ndarray) -> Iterator[tuple[np.ndar
         yield (mix(key) & np.uint64(DIMENSION - 1)).astype(np.int64), units[b:][inside], DECAY ** (b + 1)
 
 
-def features(units: list[str]) -> np.ndarray:
-    """Dense normalised kernel features of a bounded list of units, on the subsequences they use."""
+def used_by(units: list[str]) -> np.ndarray:
+    """Column of each hashed subsequence that occurs in the units; -1 for the others."""
+    codes, owner = _joined(units)
+    columns = np.full(DIMENSION, -1, dtype=np.int64)
+    for key, _, _ in subsequences(codes, owner):
+        columns[key] = 0
+    columns[columns == 0] = np.arange((columns == 0).sum())
+    return columns
+
+
+def _joined(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32)
-    owner = np.repeat(np.arange(len(units)), [len(u) for u in units])
-    out = np.zeros((len(units), DIMENSION), dtype=np.float32)
+    return codes, np.repeat(np.arange(len(units)), [len(u) for u in units])
+
+
+def features(units: list[str], columns: np.ndarray) -> np.ndarray:
+    """Normalised kernel features of units, on the columns asked for."""
+    codes, owner = _joined(units)
+    out = np.zeros((len(units), int(columns.max()) + 1))
     norm = np.zeros(len(units))
     for key, unit, weight in subsequences(codes, owner):
-        np.add.at(out, (unit, key), weight)
+        at = columns[key]
+        np.add.at(out, (unit[at >= 0], at[at >= 0]), weight)
         norm += np.bincount(unit, minlength=len(units)) * weight * weight
-    return out / np.sqrt(np.maximum(norm, 1e-9))[:, None]
+    return out / np.sqrt(np.maximum(norm, LEAST_NORM))[:, None]
+
+
+def spoilt(unit: str) -> list[str]:
+    """The unit with a foreign character put in at each place, and between all."""
+    marks = "-.*_1"
+    one = [unit[:k] + marks[k % len(marks)] + unit[k:] for k in range(1, len(unit))]
+    return [*one, *(m.join(unit) for m in marks[:3])]
 
 
 class Model:
@@ -95,21 +139,27 @@ class Model:
         self.weights, self.bias, self.logistic = weights, bias, logistic
 
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Per text: log hits, hits against length, greatest decision."""
+        """Per text: hits, hits against length, greatest decision, length, usual decision; and their products."""
         n = len(offsets) - 1
         codes, units, rows, _ = units_of(data, offsets)
         m = len(rows)
-        total, norm = np.zeros(m), np.zeros(m)
+        total, norm, name = np.zeros(m), np.zeros(m), np.zeros(m)
         for key, unit, weight in subsequences(codes, units):
             total += np.bincount(unit, weights=self.weights[key], minlength=m) * weight
             norm += np.bincount(unit, minlength=m) * (weight * weight)
-        decision = np.where(norm > 0, total / np.sqrt(np.maximum(norm, 1e-9)) + self.bias, -1.0)
+            name += np.bincount(unit, weights=key, minlength=m) * (1 + weight)
+        decision = total / np.sqrt(np.maximum(norm, LEAST_NORM)) + self.bias
         count = np.bincount(rows, minlength=n)
-        strength = np.clip(decision, 0, 1)
+        strength = np.clip((decision - HIT) / (FULL - HIT), 0, 1)
+        strength[1:][name[1:] == name[:-1]] = 0  # a unit said again at once counts once
         hits = np.bincount(rows, weights=strength, minlength=n)
         most = np.full(n, -1.0)
         np.maximum.at(most, rows, np.clip(decision, -1, 1))
-        return np.stack([np.log1p(hits), hits / np.sqrt(count + 10), most, np.log1p(count), np.ones(n)], axis=1)
+        rate = 30 * hits / (count + 10)
+        usual = np.bincount(rows, weights=np.clip(decision, -1, HIT), minlength=n) / np.maximum(count, 1)
+        x = np.stack([np.log1p(hits), np.log1p(4 * rate), most, np.log1p(count), 4 * usual], axis=1)
+        pairs = [x[:, i] * x[:, j] for i in range(5) for j in range(i, 5)]
+        return np.column_stack([x, *pairs, np.ones(n)])
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if self.logistic is None:
@@ -117,15 +167,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.evidence(data, offsets) @ self.logistic, -30, 30)))
 
 
-def machine(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
-    """Linear support vector machine with squared hinge, by Newton steps; classes weigh alike."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+def machine(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 30) -> np.ndarray:
+    """Linear support vector machine with squared hinge and the fixed BIAS, by Newton steps; classes weigh alike."""
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        active = y * (x @ w) < 1
+        active = y * (x @ w + BIAS) < 1
         a = x[active] * share[active][:, None]
-        new = np.linalg.solve(a.T @ x[active] + ridge * 1e-2 * np.eye(len(w)), a.T @ y[active])
+        new = np.linalg.solve(a.T @ x[active] + ridge * np.eye(len(w)), a.T @ (y[active] - BIAS))
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
@@ -141,12 +190,20 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 40
     return w
 
 
-def unit_strings(text: str) -> list[str]:
-    raw = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
-    codes, _, _, starts = units_of(raw, np.array([0, len(raw)]))
-    whole = codes.tobytes().decode("utf-32-le")
+def rows_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+
+
+def unit_strings(texts: list[str]) -> list[list[str]]:
+    """The units of each text, without marks at their ends."""
+    codes, _, rows, starts = units_of(*rows_of(texts))
+    whole = codes.astype("<u4").tobytes().decode("utf-32-le")
     bounds = [*starts.tolist(), len(whole)]
-    return [whole[a:b].strip(".,;:!?\"'()|#*$%&-") for a, b in zip(bounds, bounds[1:], strict=False)]
+    out: list[list[str]] = [[] for _ in texts]
+    for row, a, b in zip(rows.tolist(), bounds, bounds[1:], strict=False):
+        out[row].append(whole[a:b].strip(".,;:!?\"'()|#*$%&-"))
+    return out
 
 
 def fit(rows: list[tuple[str, int]]) -> Model | None:
@@ -157,49 +214,48 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     toxic -= clean
     if not toxic or not clean:
         return None
-    counts = []
-    for sentences in (toxic, clean):
-        found: Counter = Counter()
-        for s in sentences:
-            found.update(set(unit_strings(s)))
-        found.pop("", None)
-        counts.append(found)
-    bad, good = counts
-    odds = {u: (n + 0.5) / (len(toxic) + 1) * (len(clean) + 1) / (good[u] + 0.5) for u, n in bad.items()}
-    positive = sorted((u for u, n in bad.items() if n >= LEAST_SENTENCES and odds[u] >= LEAST_ODDS and len(u) > 2), key=lambda u: (-bad[u], u))
+    bad, good = contexts(toxic), contexts(clean)
+    share = sum(bad.values()) / max(1, sum(good.values()))
+    least = max(LEAST_CONTEXTS, LEAST_SHARE * sum(label for _, label in rows))
+    positive = sorted((u for u, n in bad.items() if n >= least and n >= LEAST_ODDS * share * (good[u] + 1) and len(u) > 2), key=lambda u: (-bad[u], u))[:POSITIVES]
     chosen = set(positive)
-    order = sorted((u for u in good if u not in chosen and len(u) > 2), key=lambda u: int(mix(np.array([hash_of(u)], np.uint64))[0]))
-    frequent = sorted((u for u in good if u not in chosen and len(u) > 2), key=lambda u: (-good[u], u))[: NEGATIVES // 3]
-    negative = list(dict.fromkeys([*frequent, *order]))[:NEGATIVES]
+    others = [u for u in good if u not in chosen and len(u) > 2]
+    mixed = sorted(others, key=lambda u: (zlib.crc32(u.encode()), u))
+    frequent = sorted(others, key=lambda u: (-good[u], u))[: NEGATIVES // 3]
+    negative = list(dict.fromkeys([*frequent, *mixed]))[:NEGATIVES]
     if not positive or not negative:
         return None
-    landmarks = [*positive[:LANDMARKS], *order[:LANDMARKS]]
-    phi = features(landmarks)
-    used = np.flatnonzero(phi.any(axis=0))
-    phi = phi[:, used]
+    shown = [*positive, *(v for u in positive[:LANDMARKS] for v in spoilt(u))]
+    # clean landmarks: those most like the positives, by shared weight, beside mixed ones
+    columns = used_by(positive)
+    like = np.concatenate([features(negative[k : k + 500], columns).sum(axis=1) for k in range(0, len(negative), 500)])
+    near = [negative[k] for k in np.argsort(-like, kind="stable")[: 2 * LANDMARKS]]
+    landmarks = list(dict.fromkeys([*positive[:LANDMARKS], *near, *mixed[:LANDMARKS]]))
+    columns = used_by(landmarks)
+    phi = features(landmarks, columns)
     values, vectors = np.linalg.eigh(phi @ phi.T)
     keep = values > 1e-5
     root = vectors[:, keep] / np.sqrt(values[keep])
-    z = []
-    everything = [*positive, *negative]
-    for k in range(0, len(everything), 500):
-        z.append(features(everything[k : k + 500])[:, used] @ phi.T @ root)
-    w = machine(np.concatenate(z), np.concatenate([np.ones(len(positive)), -np.ones(len(negative))]))
+    everything = [*shown, *negative]
+    z = np.concatenate([features(everything[k : k + 500], columns) @ phi.T @ root for k in range(0, len(everything), 500)])
+    w = machine(z, np.concatenate([np.ones(len(shown)), -np.ones(len(negative))]))
     weights = np.zeros(DIMENSION)
-    weights[used] = phi.T @ (root @ w[:-1])
-    model = Model(weights, float(w[-1]), None)
-    x = []
-    for text, _ in rows:
-        raw = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
-        x.append(model.evidence(raw, np.array([0, len(raw)]))[0])
-    model.logistic = logistic(np.array(x), np.array([label for _, label in rows], dtype=float))
+    weights[columns >= 0] = (phi.T @ (root @ w))[columns[columns >= 0]]
+    model = Model(weights, BIAS, None)
+    x = np.concatenate([model.evidence(*rows_of([t for t, _ in rows[k : k + 200]])) for k in range(0, len(rows), 200)])
+    model.logistic = logistic(x, np.array([label for _, label in rows], dtype=float))
     return model
 
 
-def hash_of(text: str) -> int:
-    import zlib
-
-    return zlib.crc32(text.encode())
+def contexts(sentences: set[str]) -> Counter:
+    """In how many different surroundings each unit occurs; copies of a sentence add none."""
+    left, right = defaultdict(set), defaultdict(set)
+    for words in unit_strings(sorted(sentences)):
+        units = ["", *words, ""]
+        for before, unit, after in zip(units, units[1:], units[2:], strict=False):
+            left[unit].add(before)
+            right[unit].add(after)
+    return Counter({u: min(len(left[u]), len(right[u])) for u in left if u})
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model | None:
