@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import large, offsets_of, row_slices, table, worker_cache
+from docloom.llm.pretokens import splitter
 
 CACHE_WORDS = 1_000_000
 #: Text that is split at once, rows of one recursive query, ids of one decoding query.
@@ -55,9 +56,8 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         import duckdb
-        import regex
 
-        self.ranks, self.split, self.words = ranks, regex.compile(pattern).findall, {}
+        self.ranks, self.split, self.words = ranks, splitter(pattern), {}
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         pairs = [(a << 24 | b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
@@ -103,7 +103,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian unsigned 32-bit."""
-        split = [self.split(t) for t in texts]
+        split = self.split(texts)
         new = set().union(*split).difference(self.words)
         if new:
             if len(self.words) + len(new) > CACHE_WORDS:
@@ -170,11 +170,25 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary")
 
 
+def round_trip(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """doc_id, ids and the bytes decoded from them, in one pass of one worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(ranks_path, pattern)
+        for batch in batches:
+            texts = large(batch.column(1))
+            for lo, hi in row_slices(offsets_of(texts), SPLIT_BYTES):
+                ids = own.encode(texts.slice(lo, hi - lo).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array(own.decode(ids), pa.binary())], names=["doc_id", "ids", "bytes"])
+
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, bytes binary")
+
+
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
     args = tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN
-    decoded = decode(encode(table(spark, sf_dir, "documents"), *args), *args)
+    decoded = round_trip(table(spark, sf_dir, "documents"), *args)
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
