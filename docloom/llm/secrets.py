@@ -106,11 +106,15 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     return materialise(pairs.select("blob", "pair.rule", "pair.spans"), "ledger")
 
 
+def blob_spans(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob and its spans, by start and then rule order, of blobs that have any."""
+    wanted = ledger.where(F.col("rule").isin([r.version for r in rules]) & (F.size("spans") > 0))
+    return wanted.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """path and its spans, by start and then rule order, of every version."""
-    wanted = ledger.where(F.col("rule").isin([r.version for r in rules]) & (F.size("spans") > 0))
-    by_blob = wanted.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
-    joined = versions.select("path", "blob").join(by_blob, "blob", "left")
+    joined = versions.select("path", "blob").join(blob_spans(ledger, rules), "blob", "left")
     return joined.select("path", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
 

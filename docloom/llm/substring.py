@@ -13,7 +13,7 @@ time. Documents without a repeated window send nothing to the last join but thei
 
 The order of occurrences is (doc_id, start), a null doc_id first. Rows are told apart by
 (doc_id, text): repeated rows with both equal count as one document and are treated alike.
-A null text has no words; extra columns are kept by `dedup` and never looked at.
+A null text has no words; extra columns are kept where `dedup` is told so and never looked at.
 """
 
 from __future__ import annotations
@@ -247,17 +247,19 @@ def _cutter(width: int):
     return run
 
 
-def dedup(documents: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
-    """doc_id, text, n_words, n_removed and kept: the words that stay, joined by one space."""
+def dedup(documents: DataFrame, width: int = WIDTH, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, the columns to keep, n_words, n_removed and kept: the words that stay, joined by one space."""
     spans = repeated_spans(documents, width, seed).groupBy("doc", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
+        *keep,
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"),
         F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"),
     )
-    joined = rows.join(spans, ["doc", "text_hash"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_cutter(width), "doc_id long, text string, n_words long, n_removed long, kept string")
+    joined = rows.join(spans, ["doc", "text_hash"], "left").select("doc_id", "text", *keep, "spans")
+    schema = ", ".join(f"`{n}` {t}" for n, t in joined.drop("spans").dtypes)
+    return joined.mapInArrow(_cutter(width), f"{schema}, n_words long, n_removed long, kept string")
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
