@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -41,6 +42,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write a table into the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/docloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # shuffle files of the plan that was written go once the driver has let go of it
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

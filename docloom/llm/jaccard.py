@@ -8,10 +8,11 @@ the first n - ceil(t n) + 1 of each.
 
 Grouped prefix join: equal sets are one class, classes of one prefix and size one group.
 A group posts its prefix once; tokens meet in buckets as compressed blobs. Each posting list of two or more groups is a candidate
-list; equal lists are kept once. From a list every member is first compared with one leader; components
-of those links follow; then only members of different components are compared, so that a
-large group of near copies never makes all its pairs, while no link between components is
-lost. Members are verified on their whole sets. Nothing is collected on the driver but
+list; equal lists are kept once. Members of a list are first held against an upper bound of what
+they share, the sum of lesser counts over hash cells. Of the pairs that pass, those with one leader of each
+list are verified first, LEADERS times with other leaders; components of those links follow; then only
+members of different components are compared, so that a large group of near copies never
+makes all its pairs, while no link between components is lost. Pairs are verified on whole sets. Nothing is collected on the driver but
 the sketch and the number of edges.
 
 Null or empty texts have an empty set and link with nothing; a null doc_id takes part but
@@ -36,6 +37,8 @@ SHINGLE, PERCENT = 5, 75
 #: Cells of the sketch as a power of two, and the blocks it is summed in.
 SKETCH_BITS, SKETCH_BLOCKS = 22, 16
 BUCKETS_A_PARTITION, FLUSH_BYTES, GROUP_BYTES = 8, 32 << 20, 8 << 20
+#: Rounds of leaders before all pairs across components; cells of the upper bound, at least and at most.
+LEADERS, CELLS = 3, (16, 1024)
 #: Below this size two sizes in a group key are exact; above, only the sets tell.
 SIZE_CLIP = (1 << 16) - 1
 
@@ -121,19 +124,28 @@ def class_key(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def cells_of(tokens: np.ndarray) -> np.ndarray:
+    """Tokens counted by hash cells, a power of two of them by the size of the set."""
+    least, most = CELLS
+    bits = int(np.clip(len(tokens) // 4, least, most)).bit_length() - 1
+    counts = np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 65535).astype("<u2")
+
+
 def document_classes(documents: DataFrame, levels: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """doc_id, n (size of the set), cls (key of the set), grp (key of prefix and size)."""
+    """doc_id, n (size of the set), cls (key of the set), grp (key of prefix and size), cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, cls, grp = [], [], []
+            n, cls, grp, cells = [], [], [], []
             for _, tokens in shingle_sets(batch.column(1), shingle):
                 n.append(len(tokens))
+                cells.append(cells_of(tokens).tobytes() if len(tokens) else None)
                 cls.append(class_key(tokens) if len(tokens) else None)
                 grp.append(group_key(prefix_of(tokens, levels, percent), len(tokens)) if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, cls, grp))], names=["doc_id", "n", "cls", "grp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, cls, grp)), pa.array(cells, pa.binary())], names=["doc_id", "n", "cls", "grp", "cells"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, cls long, grp long")
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, cls long, grp long, cells binary")
 
 
 def _pack(tokens: np.ndarray, groups: np.ndarray) -> bytes:
@@ -221,19 +233,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long")
 
 
-def sets_of(documents: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """cls, tokens of the classes in the pairs, from one document of each."""
+def sets_of(documents: DataFrame, classes: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
+    """cls, tokens of the classes needed, from one document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for _, s in shingle_sets(batch.column(0), shingle)]
-            yield pa.RecordBatch.from_arrays([pa.array([class_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "tokens"])
+            for a in range(0, batch.num_rows, 500):
+                sets = [s for _, s in shingle_sets(batch.column(0).slice(a, 500), shingle)]
+                yield pa.RecordBatch.from_arrays([pa.array([class_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "tokens"])
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     ids = classes.join(needed, "cls", "left_semi").select("doc_id")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     same = texts["doc_id"].eqNullSafe(ids["doc_id"])
-    return texts.join(ids, same, "left_semi").select("text").mapInArrow(run, "cls long, tokens binary").where("cls IS NOT NULL").groupBy("cls").agg(F.first("tokens").alias("tokens"))
+    found = texts.join(ids, same, "left_semi").select("text").mapInArrow(run, "cls long, tokens binary").where("cls IS NOT NULL")
+    return found.dropDuplicates(["cls"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -262,55 +275,159 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
+class Members:
+    """The classes of one candidate list, by size, and what they may share at most."""
+
+    def __init__(self, cls: np.ndarray, n: np.ndarray, cells: list[bytes], labels: np.ndarray, percent: int) -> None:
+        order = np.lexsort((cls, n))
+        self.cls, self.n, self.labels, self.percent = cls[order], n[order], labels[order], percent
+        own = [np.frombuffer(cells[k], dtype="<u2") for k in order]
+        self.width = np.array([len(c) for c in own])
+        self.tables = {}
+        for width in np.unique(self.width).tolist():
+            first = int(np.searchsorted(self.width, width))
+            self.tables[width] = first, np.stack([c.reshape(width, -1).sum(axis=1, dtype=np.int32) for c in own[first:]])
+
+    def may_link(self, i: int, lo: int, hi: int) -> np.ndarray:
+        """Which members in lo..hi, none smaller than member i, may be similar to it."""
+        first, table = self.tables[int(self.width[i])]
+        shared = np.minimum(table[lo - first : hi - first], table[i - first]).sum(axis=1)
+        n = self.n[lo:hi]
+        fits = 100 * self.n[i] >= self.percent * n
+        bound = (100 + self.percent) * shared >= self.percent * (self.n[i] + n)
+        return fits & (bound | (self.n[i] >= SIZE_CLIP))
+
+    def with_partner(self) -> np.ndarray:
+        """Which members may be similar to another one of the list."""
+        out = np.zeros(len(self.n), dtype=bool)
+        for i in range(len(self.n)):
+            lo = i + 1
+            end = int(np.searchsorted(self.n, 100 * self.n[i] // self.percent, "right"))
+            while lo < end and not (out[i] and out[lo:end].all()):
+                hi = min(end, lo + 1024)
+                good = self.may_link(i, lo, hi)
+                out[lo:hi] |= good
+                out[i] |= good.any()
+                lo = hi
+        return out
+
+    def pairs_with(self, leader: int) -> Iterator[tuple[int, int]]:
+        """Pairs of one member with those of other labels."""
+        for i in range(leader):
+            if self.labels[i] != self.labels[leader] and self.may_link(i, leader, leader + 1)[0]:
+                yield i, leader
+        if leader + 1 < len(self.n):
+            good = self.may_link(leader, leader + 1, len(self.n)) & (self.labels[leader + 1 :] != self.labels[leader])
+            for j in np.flatnonzero(good).tolist():
+                yield leader, leader + 1 + j
+
+    def pairs(self) -> Iterator[tuple[int, int]]:
+        """All pairs of different labels."""
+        for i in range(len(self.n)):
+            end = int(np.searchsorted(self.n, 100 * self.n[i] // self.percent, "right"))
+            other = np.flatnonzero(self.labels[i + 1 : end] != self.labels[i]) + i + 1
+            if len(other):
+                lo, hi = int(other[0]), int(other[-1]) + 1
+                good = self.may_link(i, lo, hi) & (self.labels[lo:hi] != self.labels[i])
+                for j in np.flatnonzero(good).tolist():
+                    yield i, lo + j
+
+
+def _lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[int, Members]]:
+    """Members of each list, of rows (list, cls, n, cells, label) sorted by list."""
+    held: pa.Table | None = None
+
+    def cut(table: pa.Table, whole: bool):
+        ids = np.asarray(table.column("list"))
+        cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        ends = [*cuts[1:].tolist(), len(ids)]
+        cls, n, labels = (np.asarray(table.column(c)) for c in ("cls", "n", "label"))
+        cells = table.column("cells").to_pylist()
+        for a, b in list(zip(cuts.tolist(), ends, strict=True))[: None if whole else -1]:
+            yield int(ids[a]), Members(cls[a:b], n[a:b], cells[a:b], labels[a:b], percent)
+        return table.slice(0 if whole else int(cuts[-1]))
+
+    for batch in batches:
+        if batch.num_rows:
+            more = pa.Table.from_batches([batch])
+            held = yield from cut(more if held is None else pa.concat_tables([held, more]).combine_chunks(), False)
+    if held is not None and held.num_rows:
+        yield from cut(held, True)
+
+
+def _by_list(members: DataFrame) -> DataFrame:
+    return members.select("list", "cls", "n", "cells", "label").repartition(shuffle_partitions(members.sparkSession), "list").sortWithinPartitions("list")
+
+
+def live_members(members: DataFrame, percent: int) -> DataFrame:
+    """The rows (list, cls) whose class may be similar to another one of the list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, m in _lists(batches, percent):
+            cls = m.cls[m.with_partner()]
+            if len(cls):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cls), key)), pa.array(cls)], names=["list", "cls"])
+
+    return _by_list(members.withColumn("label", F.col("cls"))).mapInArrow(run, "list long, cls long")
+
+
+def candidate_pairs(members: DataFrame, labels: DataFrame | None, percent: int, seed: int | None) -> DataFrame:
+    """Pairs of classes of different labels that may be similar: with each list's leader, or all where seed is None."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: set[tuple[int, int]] = set()
+        for _, m in _lists(batches, percent):
+            if len(m.n) < 2 or (m.labels == m.labels[0]).all():
+                continue
+            leader = None if seed is None else int(np.argmin(mix(m.cls.astype(np.uint64) + np.uint64(7919 * seed))))
+            new = []
+            for i, j in m.pairs() if leader is None else m.pairs_with(leader):
+                pair = tuple(sorted((int(m.cls[i]), int(m.cls[j]))))
+                if pair not in made:
+                    made.add(pair)
+                    new.append(pair)
+                if len(made) >= 1_000_000:  # only spares repeats
+                    made.clear()
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in new], pa.int64()), pa.array([y for _, y in new], pa.int64())], names=["a", "b"])
+
+    if labels is None:
+        members = members.withColumn("label", F.col("cls"))
+    else:
+        members = members.join(labels, members["cls"] == labels["node"], "left").withColumn("label", F.coalesce("label", "cls"))
+    return _by_list(members).mapInArrow(run, "a long, b long").distinct()
+
+
 def link(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
     levels = sketch(documents, shingle)
-    rows = materialise(document_classes(documents, levels, shingle, percent), "classes")
-    classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("grp").alias("grp"), F.first("n").alias("n"))
+    rows = materialise(document_classes(documents, levels, shingle, percent), "rows")
+    classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("cells").alias("cells"))
     classes = materialise(classes, "classes")
     lists = candidate_lists(documents, levels, shingle, percent)
     shared = classes.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select(F.col("grp").alias("list"), F.array("grp").alias("groups"))
-    members = lists.union(shared).select("list", F.explode("groups").alias("grp")).join(classes.select("grp", "cls", "n"), "grp").select("list", "cls", "n")
-    members = materialise(members, "members")
-    edges = _compare(documents, classes, _with_leader(members, percent), shingle, percent)
-    labels = components(edges)
-    rest = _across(members, labels, percent)
-    more = _compare(documents, classes, rest, shingle, percent)
-    labels = components(edges.union(more))
-    labelled = rows.join(labels, rows["cls"] == labels["node"], "left").select("doc_id", "n", F.coalesce("label", "cls").alias("label"))
-    labelled = labelled.where("label IS NOT NULL")
+    members = lists.union(shared).select("list", F.explode("groups").alias("grp")).join(classes.select("grp", "cls", "n", "cells"), "grp").select("list", "cls", "n", "cells")
+    live = materialise(live_members(members, percent), "live")
+    members = materialise(live.join(classes.select("cls", "n", "cells"), "cls"), "members")
+    sets = materialise(sets_of(documents, classes, live.select("cls").distinct(), shingle), "sets")
+    edges = labels = None
+    for seed in (*range(LEADERS), None):
+        pairs = materialise(candidate_pairs(members, labels, percent, seed), "pairs")
+        if pairs.isEmpty():
+            continue
+        found = materialise(verified(pairs, sets, percent), "links")
+        edges = found if edges is None else edges.union(found)
+        labels = components(edges)
+        edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    if labels is None:
+        labels = classes.select(F.col("cls").alias("node"), F.col("cls").alias("label")).limit(0)
+    labelled = rows.where("cls IS NOT NULL").join(labels, rows["cls"] == labels["node"], "left").select("doc_id", "n", F.coalesce("label", "cls").alias("label"))
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = labelled.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("cls IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.union(alone)
 
 
-def _fits(x: str, y: str, percent: int) -> F.Column:
-    return (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
-
-
-def _with_leader(members: DataFrame, percent: int) -> DataFrame:
-    """Each member of a list with one leader: the one of least key, alike in most lists of a group."""
-    leader = members.groupBy("list").agg(F.min(F.struct(F.xxhash64("cls").alias("h"), "cls", "n")).alias("lead"))
-    pairs = members.join(leader, "list").where(F.col("cls") != F.col("lead.cls")).where(_fits("n", "lead.n", percent))
-    return pairs.select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct()
-
-
-def _across(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list whose members are in different components so far."""
-    marked = members.join(labels, members["cls"] == labels["node"], "left").select("list", "cls", "n", F.coalesce("label", "cls").alias("label"))
-    open_ = marked.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("list")
-    marked = materialise(marked.join(open_, "list", "left_semi"), "open")
-    x, y = marked.alias("x"), marked.alias("y")
-    pairs = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.label") < F.col("y.label"))).where(_fits("x.n", "y.n", percent))
-    return pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-
-
-def _compare(documents: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    pairs = materialise(pairs, "pairs")
-    return materialise(verified(pairs, sets_of(documents, classes, pairs, shingle), percent), "links")
-
-
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))
 
