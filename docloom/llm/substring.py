@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Buckets, bucket_groups, in_one_row, large, shuffle_partitions, table, text_slices, to_buckets, window_hashes, word_hashes, words_of
+from docloom.llm.common import Buckets, bucket_groups, in_one_row, large, materialise, shuffle_partitions, table, text_slices, to_buckets, window_hashes, word_hashes, words_of
 
 #: Words in a window and in the runs whose least hash is the minimiser.
 WIDTH, SEED = 20, 4
@@ -249,7 +249,8 @@ def _cutter(width: int):
 
 def dedup(documents: DataFrame, width: int = WIDTH, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, the columns to keep, n_words, n_removed and kept: the words that stay, joined by one space."""
-    spans = repeated_spans(documents, width, seed).groupBy("doc", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    # written first, so that the strings' shuffle files can go before the texts are dealt out
+    spans = materialise(repeated_spans(documents, width, seed), "spans").groupBy("doc", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
