@@ -632,7 +632,7 @@ def _merge_maps(v: Val, *others: Val) -> Val:
     out = v.map()
     for o in others:
         more = F.coalesce(o.map(), F.create_map().cast("map<string,variant>"))
-        out = F.map_concat(F.map_filter(out, lambda k, _, m=more: ~F.map_contains_key(m, k)), more)
+        out = F.map_concat(F.map_filter(out, lambda k, _: ~F.map_contains_key(more, k)), more)
     return Val(out, T.MapType(STR, T.VariantType()))
 
 
