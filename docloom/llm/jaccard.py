@@ -37,8 +37,8 @@ SHINGLE, PERCENT = 5, 75
 #: Cells of the sketch as a power of two, and the blocks it is summed in.
 SKETCH_BITS, SKETCH_BLOCKS = 22, 16
 BUCKETS_A_PARTITION, FLUSH_BYTES, GROUP_BYTES = 8, 32 << 20, 8 << 20
-#: Rounds of leaders before all pairs across components; cells of the upper bound, at least and at most.
-LEADERS, CELLS = 3, (16, 1024)
+#: Rounds of leaders before all pairs across components; least cells of the upper bound, as a power of two.
+LEADERS, CELL_BITS = 4, 6
 #: Below this size two sizes in a group key are exact; above, only the sets tell.
 SIZE_CLIP = (1 << 16) - 1
 
@@ -124,12 +124,22 @@ def class_key(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def cells_of(tokens: np.ndarray) -> np.ndarray:
-    """Tokens counted by hash cells, a power of two of them by the size of the set."""
-    least, most = CELLS
-    bits = int(np.clip(len(tokens) // 4, least, most)).bit_length() - 1
+def cells_of(tokens: np.ndarray) -> bytes:
+    """Tokens counted by hash cells, two to four cells for each token, two cells a byte.
+
+    Were one count over 15, all cells would say 15, which keeps sums of lesser counts an upper bound.
+    """
+    bits = max(CELL_BITS, int(2 * len(tokens) - 1).bit_length())
     counts = np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return np.minimum(counts, 65535).astype("<u2")
+    counts = counts.astype(np.uint8) if counts.max() <= 15 else np.full(1 << bits, 15, np.uint8)
+    return (counts[::2] | (counts[1::2] << 4)).tobytes()
+
+
+def open_cells(raw: bytes) -> np.ndarray:
+    packed = np.frombuffer(raw, dtype=np.uint8)
+    out = np.empty(2 * len(packed), dtype=np.uint8)
+    out[::2], out[1::2] = packed & 15, packed >> 4
+    return out
 
 
 def document_classes(documents: DataFrame, levels: np.ndarray, shingle: int, percent: int) -> DataFrame:
@@ -140,7 +150,7 @@ def document_classes(documents: DataFrame, levels: np.ndarray, shingle: int, per
             n, cls, grp, cells = [], [], [], []
             for _, tokens in shingle_sets(batch.column(1), shingle):
                 n.append(len(tokens))
-                cells.append(cells_of(tokens).tobytes() if len(tokens) else None)
+                cells.append(cells_of(tokens) if len(tokens) else None)
                 cls.append(class_key(tokens) if len(tokens) else None)
                 grp.append(group_key(prefix_of(tokens, levels, percent), len(tokens)) if len(tokens) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, cls, grp)), pa.array(cells, pa.binary())], names=["doc_id", "n", "cls", "grp", "cells"])
@@ -281,21 +291,21 @@ class Members:
     def __init__(self, cls: np.ndarray, n: np.ndarray, cells: list[bytes], labels: np.ndarray, percent: int) -> None:
         order = np.lexsort((cls, n))
         self.cls, self.n, self.labels, self.percent = cls[order], n[order], labels[order], percent
-        own = [np.frombuffer(cells[k], dtype="<u2") for k in order]
+        own = [open_cells(cells[k]) for k in order]
         self.width = np.array([len(c) for c in own])
         self.tables = {}
         for width in np.unique(self.width).tolist():
             first = int(np.searchsorted(self.width, width))
-            self.tables[width] = first, np.stack([c.reshape(width, -1).sum(axis=1, dtype=np.int32) for c in own[first:]])
+            self.tables[width] = first, np.stack([c if len(c) == width else np.minimum(c.reshape(width, -1).sum(axis=1, dtype=np.int32), 255).astype(np.uint8) for c in own[first:]])
 
     def may_link(self, i: int, lo: int, hi: int) -> np.ndarray:
         """Which members in lo..hi, none smaller than member i, may be similar to it."""
         first, table = self.tables[int(self.width[i])]
-        shared = np.minimum(table[lo - first : hi - first], table[i - first]).sum(axis=1)
+        shared = np.minimum(table[lo - first : hi - first], table[i - first]).sum(axis=1, dtype=np.int64)
         n = self.n[lo:hi]
         fits = 100 * self.n[i] >= self.percent * n
         bound = (100 + self.percent) * shared >= self.percent * (self.n[i] + n)
-        return fits & (bound | (self.n[i] >= SIZE_CLIP))
+        return fits & bound
 
     def with_partner(self) -> np.ndarray:
         """Which members may be similar to another one of the list."""
