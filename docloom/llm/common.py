@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass handles; bounds a worker's memory, not what is processed.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Odd multiplier of the rolling byte hash and a second one for word windows.
 BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 WORD_BASE = 0xD6E8FEB86659FD93 | 1

@@ -36,7 +36,7 @@ from docloom.llm.common import Buckets, bucket_groups, in_one_row, materialise,
 SHINGLE, PERCENT = 5, 75
 #: Cells of the sketch as a power of two, and the blocks it is summed in.
 SKETCH_BITS, SKETCH_BLOCKS = 22, 16
-BUCKETS_A_PARTITION, FLUSH_BYTES, GROUP_BYTES = 8, 32 << 20, 8 << 20
+BUCKETS_A_PARTITION, FLUSH_BYTES, GROUP_BYTES = 8, 16 << 20, 4 << 20
 #: Rounds of leaders before all pairs across components; least cells of the upper bound, as a power of two.
 LEADERS, CELL_BITS = 4, 6
 #: Below this size two sizes in a group key are exact; above, only the sets tell.
@@ -77,9 +77,10 @@ def sketch(documents: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, dtype=np.int64)
         for batch in batches:
-            held = [s for _, s in shingle_sets(batch.column(0), shingle)]
-            for k in range(0, len(held), 2000):
-                total += np.bincount((np.concatenate(held[k : k + 2000]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=cells)
+            for a in range(0, batch.num_rows, 2000):
+                held = [s for _, s in shingle_sets(batch.column(0).slice(a, 2000), shingle)]
+                found, n = np.unique((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
+                total[found] += n
         if total.any():
             yield blobs(total)
 
