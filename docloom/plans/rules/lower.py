@@ -48,7 +48,8 @@ def as_double(v: Val) -> Column:
 
 
 def as_long(v: Val) -> Column:
-    return v.rule_number_of().cast("bigint")
+    x = v.rule_number_of()
+    return F.coalesce(x.try_cast("bigint"), F.when(x > 0, (1 << 63) - 1).otherwise(-(1 << 63)))
 
 
 def merge(test: Column, yes: Val, no: Val) -> Val:
@@ -105,7 +106,8 @@ def add(a: Val, b: Val) -> Val:
         return num(F.coalesce(a.number(), F.lit(0.0)) + b.rule_number_of())
     if a.kind == "any":
         number = Val(a.number() + b.rule_number_of(), NUM)
-        return merge(a.is_number(), number, merge(a.is_nil(), b, text(F.concat(a.string_of(), b.string_of()))))
+        joined = Val(F.when(a.is_string(), F.concat(a.string_of(), b.string_of())), STR)
+        return merge(a.is_number(), number, merge(a.is_nil(), b, joined))
     raise NotLowerable(f"+ on {a.kind}")
 
 
@@ -439,7 +441,8 @@ class Lowerer:
 
 
 def _byte_slice(c: Column, a: Column, b: Column) -> Column:
-    return F.try_validate_utf8(F.substring(c.cast("binary"), a + 1, b - a).cast("string")) if hasattr(F, "try_validate_utf8") else F.substring(c.cast("binary"), a + 1, b - a).cast("string")
+    """Bytes a to b of a text; a character cut through becomes a replacement character."""
+    return F.make_valid_utf8(F.substring(c.cast("binary"), a + 1, b - a).cast("string"))
 
 
 def _common(kind: T.DataType | None, value: Val) -> T.DataType | None:
@@ -721,7 +724,7 @@ CALLS: dict[str, Callable[..., Val]] = {
     "not": lambda a: boolean(~a.condition()), "and": lambda *a: boolean(reduce(lambda x, y: x & y, (v.condition() for v in a))), "or": _first_truthy, "orr": lambda a, b: merge(a.is_nil(), b, a),
     "inn": lambda x, *g: boolean(reduce(lambda a, b: a | b, (member(x, y) for y in g))), "is_empty": _is_empty,
     "string": _string, "number": lambda v: num(v.rule_number_of()), "bool": lambda v: boolean(v.rule_bool_of()), "boolean": lambda v: boolean(v.rule_bool_of()),
-    "int": lambda v: num(as_double(v).cast("bigint").cast("double")), "bytes": lambda v: binary(_bytes_of(v)), "type": _type, "len": _len,
+    "int": lambda v: num(F.coalesce(as_double(v).try_cast("bigint").cast("double"), as_double(v))), "bytes": lambda v: binary(_bytes_of(v)), "type": _type, "len": _len,
     "append": _append, "join": _join, "str_join": _join, "str_has_prefix": lambda v, x: boolean(s(v).startswith(s(x))), "str_has_suffix": lambda v, x: boolean(s(v).endswith(s(x))),
     "str_split": _split_after, "str_to_upper": lambda v: text(F.upper(s(v))), "str_to_lower": lambda v: text(F.lower(s(v))), "str_trim": _trim_space, "str_fields": _fields,
     "regmatch": _regmatch, "regfind": _find_all, "json_to": _json_text, "to_json_str": _json_text, "json_from": lambda v: Val(F.try_parse_json(v.string_of()), T.VariantType()), "to_json_obj": lambda v: Val(F.try_parse_json(v.string_of()), T.VariantType()),

@@ -625,7 +625,8 @@ class Format(Check):
             ctx.add(self.path, self.info)
 
     def test(self, low: Lowering, value: Val, errors: Errors) -> None:
-        errors.one(~formats.column_of(self.name)(value.string()), self.path, self.info)
+        text = value.string()
+        errors.one(text.isNotNull() & ~formats.column_of(self.name)(text), self.path, self.info)
 
 
 @keyword("format")
