@@ -40,12 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write a table into the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/docloom-{name}-{uuid.uuid4().hex}"
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     # shuffle files of the plan that was written go once the driver has let go of it
+    del df
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -141,12 +143,17 @@ def inverse(base: int) -> int:
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each word, by differences of one running sum."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BYTE_BASE, len(data)), out=total[1:])
-    raw = (total[ends] - total[starts]) * powers(inverse(BYTE_BASE), len(data))[starts]
-    return mix(raw + (ends - starts).astype(np.uint64))
+    out = np.empty(len(starts), dtype=np.uint64)
+    a = 0
+    while a < len(starts):  # by parts of the bytes, so that the sums stay small
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + SLICE_BYTES, "right")))
+        first, last = int(starts[a]), int(ends[b - 1])
+        total = np.zeros(last - first + 1, dtype=np.uint64)
+        np.cumsum((data[first:last].astype(np.uint64) + np.uint64(1)) * powers(BYTE_BASE, last - first), out=total[1:])
+        own, stop = starts[a:b] - first, ends[a:b] - first
+        out[a:b] = mix((total[stop] - total[own]) * powers(inverse(BYTE_BASE), last - first)[own] + (stop - own).astype(np.uint64))
+        a = b
+    return out
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -167,8 +174,8 @@ def in_one_row(rows: np.ndarray, width: int) -> np.ndarray:
 class Buckets:
     """Rows on their way to buckets, sent as one compressed blob for each bucket and flush."""
 
-    def __init__(self, n: int, limit: int, pack: Callable[..., bytes]) -> None:
-        self.n, self.limit, self.pack, self.parts, self.size = n, limit, pack, [], 0
+    def __init__(self, n: int, limit: int, pack: Callable[..., bytes], level: int = 1) -> None:
+        self.n, self.limit, self.pack, self.level, self.parts, self.size = n, limit, pack, level, [], 0
 
     def add(self, keys: np.ndarray, columns: tuple, size: int) -> pa.RecordBatch | None:
         if len(keys):
@@ -184,7 +191,7 @@ class Buckets:
         order = np.argsort(keys, kind="stable")
         keys, columns = keys[order], [c[order] for c in columns]
         cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        zip_ = zstandard.ZstdCompressor(level=1)
+        zip_ = zstandard.ZstdCompressor(level=self.level)
         blobs = [zip_.compress(self.pack(*(c[a:b] for c in columns))) for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(keys[cuts].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 

@@ -96,7 +96,7 @@ def _partitioner(n_buckets: int, width: int, seed: int):
     table_ = bytes(32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Buckets(n_buckets, FLUSH_BYTES, _pack)
+        out = Buckets(n_buckets, FLUSH_BYTES, _pack, level=3)
         seen: dict[bytes, tuple[int, int, int]] = {}
         settled: list[tuple[int, int, int, int]] = []
 
