@@ -73,23 +73,24 @@ class Validator:
         """The frame with intermediate columns, the document, its errors and whether it has none."""
         frame, made = df, []
 
-        def bind(value: Column) -> Column:
+        def bind(values: list[Column]) -> list[Column]:
             nonlocal frame
-            name = f"__docloom_{len(made)}"
-            made.append(name)
-            frame = frame.withColumn(name, value)
-            return F.col(name)
+            names = [f"__docloom_{len(made) + k}" for k in range(len(values))]
+            made.extend(names)
+            frame = frame.withColumns(dict(zip(names, values, strict=True)))
+            return [F.col(n) for n in names]
 
         dtype = df.schema[column].dataType
         source = F.col(f"`{column}`")
         broken = None
         if isinstance(dtype, T.StringType):
-            parsed = bind(F.try_parse_json(source))
+            parsed = bind([F.try_parse_json(source)])[0]
             broken = source.isNotNull() & parsed.isNull()
             value = Val(parsed, T.VariantType())
         else:
             value = Val(source, dtype)
         low = Lowering(bind, self.flags, self.schema, UNROLL)
+        value = low.once([value])[0]
         out, errors = self.schema.lower(low, value)
         found, ok = errors.array(), errors.ok()
         if broken is not None:

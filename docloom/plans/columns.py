@@ -30,16 +30,10 @@ def lit_bool(x: bool) -> Column:
 def format_double(c: Column) -> Column:
     """A double as the shortest decimal text without an exponent."""
     text = c.cast("string")
-    whole = F.when((c == F.floor(c)) & (F.abs(c) < 1e18), c.cast("bigint").cast("string"))
-    mantissa = F.regexp_replace(F.regexp_extract(text, r"^-?([\d.]+)E", 1), r"\.0$", "")
-    digits = F.translate(mantissa, ".", "")
-    power = F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
-    sign = F.when(c < 0, "-").otherwise("")
-    large = F.concat(sign, F.rpad(digits, (power + 1), "0"))
-    small = F.concat(sign, F.lit("0."), F.expr("''"), F.repeat(F.lit("0"), -power - 1), digits)
-    scaled = F.when(power >= F.length(digits) - 1, large).when(power < 0, small).otherwise(F.concat(sign, F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.length(digits))))
+    whole = F.when((c == F.floor(c)) & (F.abs(c) < 1e18), c.try_cast("bigint").cast("string"))
     special = F.when(F.isnan(c), "NaN").when(c == float("inf"), "+Inf").when(c == float("-inf"), "-Inf")
-    return F.coalesce(special, whole, F.when(text.contains("E"), scaled), text)
+    long = F.rtrim(F.rtrim(F.format_string("%.330f", c), F.lit("0")), F.lit("."))
+    return F.coalesce(special, whole, F.when(text.contains("E"), long), text)
 
 
 def parse_double(c: Column) -> Column:
@@ -56,6 +50,8 @@ class Val:
     def __init__(self, col: Column, dtype: T.DataType | None, never_null: bool = False, const=ABSENT, origin: Val | None = None) -> None:
         #: const: the constant it was made of; origin: what an object map was made of, which tells the kind of other values.
         self.col, self.dtype, self.never_null, self.const, self.origin = col, dtype, never_null, const, origin
+        #: A column with the VARIANT's schema, where it was computed already.
+        self.tag: Column | None = None
 
     # kinds
     @property
@@ -69,7 +65,7 @@ class Val:
         raise NotLowerable(f"type {t}")
 
     def _tag(self) -> Column:
-        return F.schema_of_variant(self.col)
+        return F.schema_of_variant(self.col) if self.tag is None else self.tag
 
     def is_null(self) -> Column:
         """A JSON null (an absent value is not)."""

@@ -106,13 +106,26 @@ class Errors:
 class Lowering:
     """Where Columns are made: `bind` names an intermediate value so that it is computed once."""
 
-    def __init__(self, bind: Callable[[Column], Column] | None, flags: Flags, root: Schema | None, depth: int) -> None:
+    def __init__(self, bind: Callable[[list[Column]], list[Column]] | None, flags: Flags, root: Schema | None, depth: int) -> None:
         self._bind, self.flags, self.root, self.depth = bind, flags, root, depth
 
     def bind(self, value: Val) -> Val:
         if self._bind is None:
             raise NotLowerable("a write inside an array")
-        return Val(self._bind(value.col), value.dtype, value.never_null, value.const, value.origin)
+        return Val(self._bind([value.col])[0], value.dtype, value.never_null, value.const, value.origin)
+
+    def once(self, values: list[Val]) -> list[Val]:
+        """The values with VARIANTs, and what kind they are, computed once for all that ask."""
+        at = [k for k, v in enumerate(values) if v.kind == "any" and v.tag is None and v.origin is None]
+        if self._bind is None or not at:
+            return values
+        cols = self._bind([values[k].col for k in at])
+        tags = self._bind([F.schema_of_variant(c) for c in cols])
+        out = list(values)
+        for k, col, tag in zip(at, cols, tags, strict=True):
+            out[k] = Val(col, values[k].dtype, values[k].never_null, values[k].const)
+            out[k].tag = tag
+        return out
 
     def inner(self) -> Lowering:
         return Lowering(None, self.flags, self.root, self.depth)
@@ -177,6 +190,11 @@ class Schema(Step):
     def any_writes(self) -> bool:
         return any(s.writes for _, s in self.steps) or any(c.any_writes for c in self.children())
 
+    @property
+    def tests(self) -> bool:
+        """Whether any step does something of its own."""
+        return any(not isinstance(s, Inert) for _, s in self.steps)
+
     def get(self, name: str) -> Step | None:
         return next((s for n, s in self.steps if n == name), None)
 
@@ -993,11 +1011,9 @@ class Properties(Step):
         is_object = value.is_object()
         errors.one(~is_object & ~value.is_nil(), self.path, "type should be object")
         changed: dict[str, Val] = {}
-        for k in sorted(self.schemas):
-            if value.fields is not None and k not in value.fields:
-                continue
-            have = value.has(k)
-            before = value.get(k)
+        names = [k for k in sorted(self.schemas) if (value.fields is None or k in value.fields) and self.schemas[k].tests]
+        for k, before in zip(names, low.once([value.get(k) for k in names]), strict=True):
+            have = before.col.isNotNull() if before.tag is not None else value.has(k)
             after, more = self.schemas[k].lower(low if self.schemas[k].any_writes else low.inner(), before)
             errors.take(more, is_object & have)
             if after is not before:
@@ -1153,9 +1169,13 @@ class Children(Step):
 
     def lower(self, low: Lowering, value: Val) -> tuple[Val, Errors]:
         errors, out = Errors(), value
+        names = [k for k, s in self.schemas.items() if s.tests]
+        first = dict(zip(names, low.once([value.get(k) for k in names]), strict=True))
         for k, s in self.schemas.items():
+            if not s.tests:
+                continue
             have = value.is_object() & value.has(k)
-            before = out.get(k)
+            before = first[k] if out is value else out.get(k)
             after, more = s.lower(low if s.any_writes else low.inner(), before)
             errors.take(more, have)
             if after is not before:
