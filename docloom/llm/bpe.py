@@ -28,22 +28,26 @@ CACHE_WORDS = 1_000_000
 #: Text that is split at once, rows of one recursive query, ids of one decoding query.
 SPLIT_BYTES, QUERY_BYTES, DECODE_IDS = 2 << 20, 400_000, 1_000_000
 
+#: Longer words would take the query as many rounds as they have merges; a heap contracts them in the same order.
+LONG_WORD = 4096
+
 MERGE = """
 WITH RECURSIVE state(w, pos, tok, done) AS (
   SELECT w, pos, tok, false FROM base
   UNION ALL
-  SELECT w, pos, coalesce(CASE WHEN hit THEN rank END, tok), best IS NULL FROM (
-    SELECT *, lag(hit, 1, false) OVER (PARTITION BY w ORDER BY pos) AS gone FROM (
-      SELECT *, coalesce(place = best, false) AS hit FROM (
-        SELECT *, min(place) OVER (PARTITION BY w) AS best FROM (
-          SELECT p.w, p.pos, p.tok, m.rank, (m.rank::BIGINT << 32) | p.pos AS place FROM (
-            SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS follows FROM state WHERE NOT done) p
-          LEFT JOIN merges m ON m.pair = ((p.tok::BIGINT << 24) | p.follows)))))
-  WHERE NOT gone
+  (WITH pairs AS MATERIALIZED (
+     SELECT p.w, p.pos, p.tok, m.rank, (m.rank::BIGINT << 44) | (p.pos::BIGINT << 22) | p.next AS place
+     FROM (SELECT w, pos, tok, lead(tok) OVER own AS follows, lead(pos) OVER own AS next
+           FROM state WHERE NOT done WINDOW own AS (PARTITION BY w ORDER BY pos)) p
+     LEFT JOIN merges m ON m.pair = ((p.tok::BIGINT << 24) | p.follows)),
+   least AS (SELECT w, min(place) AS best FROM pairs GROUP BY w)
+   SELECT p.w, p.pos, CASE WHEN p.place = l.best THEN p.rank ELSE p.tok END, l.best IS NULL
+   FROM pairs p JOIN least l ON p.w = l.w
+   WHERE l.best IS NULL OR p.pos <> (l.best & 4194303))
 )
 SELECT w, tok FROM state WHERE done ORDER BY w, pos
 """
-DECODE = "SELECT doc, string_agg(bytes, '' ORDER BY pos) AS bytes FROM ids JOIN vocabulary USING (id) GROUP BY doc"
+DECODE = "SELECT doc, array_to_string(list(bytes ORDER BY pos), '') AS bytes FROM ids JOIN vocabulary USING (id) GROUP BY doc"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -77,6 +81,9 @@ class Codec:
             if rank is not None:
                 self.words[word] = rank.to_bytes(4, "little")
                 continue
+            if len(raw) > LONG_WORD:
+                self.words[word] = self._contract(raw)
+                continue
             batch.append((word, raw))
             size += len(raw)
             if size >= QUERY_BYTES:
@@ -101,6 +108,37 @@ class Codec:
         for (word, _), a, b in zip(batch, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             self.words[word] = ids[a:b]
 
+    def _contract(self, raw: bytes) -> bytes:
+        """The ids of one long word: leftmost pair of minimum rank first, by a heap."""
+        import heapq
+
+        parts: list[bytes | None] = [raw[k : k + 1] for k in range(len(raw))]
+        after, before = list(range(1, len(raw) + 1)), list(range(-1, len(raw) - 1))
+        heap: list[tuple[int, int, int]] = []
+
+        def offer(k: int) -> None:
+            if 0 <= k and after[k] < len(raw):
+                joined = parts[k] + parts[after[k]]
+                rank = self.ranks.get(joined)
+                if rank is not None:
+                    heapq.heappush(heap, (rank, k, len(joined)))
+
+        for k in range(len(raw)):
+            offer(k)
+        while heap:
+            _, k, size = heapq.heappop(heap)
+            follows = after[k]
+            if parts[k] is None or follows >= len(raw) or len(parts[k]) + len(parts[follows]) != size:
+                continue  # one of them has changed since
+            parts[k] += parts[follows]
+            parts[follows] = None
+            after[k] = after[follows]
+            if after[k] < len(raw):
+                before[after[k]] = k
+            offer(k)
+            offer(before[k])
+        return np.array([self.ranks[x] for x in parts if x is not None], dtype="<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian unsigned 32-bit."""
         split = self.split(texts)

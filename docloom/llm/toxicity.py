@@ -34,7 +34,7 @@ from docloom.llm.common import mix, table, text_slices, words_of
 #: Most places of a subsequence, decay a place, hashed subsequences.
 SPAN, DECAY, DIMENSION = 5, 0.6, 1 << 18
 #: Training documents for each label, their greatest length, landmarks for each class, negatives in training.
-SLOTS, SAMPLE_CHARS, LANDMARKS, NEGATIVES = 3000, 20_000, 160, 6000
+SLOTS, SAMPLE_CHARS, LANDMARKS, NEGATIVES = 1500, 20_000, 160, 6000
 #: A positive unit: different surroundings in toxic sentences, at least and for each toxic document, and odds against clean ones; most of them.
 LEAST_CONTEXTS, LEAST_SHARE, LEAST_ODDS, POSITIVES = 5, 0.01, 5.0, 400
 #: The decision of a unit that shares nothing with any landmark.

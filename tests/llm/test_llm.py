@@ -64,7 +64,7 @@ def test_bpe(spark):
     path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     own = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    rows = [r for r in corpus() if r[0] != 7] + [(900, "naïve ÀÉÎ <|endoftext|> don't we'll"), (901, "q" * 700)]
+    rows = [r for r in corpus() if r[0] != 7] + [(900, "naïve ÀÉÎ <|endoftext|> don't we'll"), (901, "q" * 700), (902, "abcxyz" * 900), (903, "".join(random.Random(1).choice("abcdeé") for _ in range(9000)))]
     want = {i: own.encode_ordinary(t or "") for i, t in rows}
     out = bpe.round_trip(docs(spark, rows), path, tokenizers.PATTERN).collect()
     assert len(out) == len(rows)
