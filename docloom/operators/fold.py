@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.functions import rules as _functions
 from docloom.functions.values import dump_json, parse_json
 from docloom.plans.columns import NotLowerable, Val
 from docloom.plans.rules import parser as p
@@ -24,6 +25,10 @@ from docloom.plans.rules.interpreter import Machine
 from docloom.plans.rules.lower import Lowerer, assigned
 
 
+#: The rule functions, which a step needs where it runs.
+FUNCTIONS = _functions.FUNCTIONS
+
+
 @dataclass
 class Sum:
     """name += value over all rows; keyed: name[key] += value."""

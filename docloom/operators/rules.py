@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.functions import rules as _functions
 from docloom.functions.values import Flags, dump_json, plain
 from docloom.plans.columns import NotLowerable, Val
 from docloom.plans.rules.interpreter import Machine
@@ -19,6 +20,8 @@ from docloom.plans.rules.parser import Node, parse_program, parse_text
 
 #: What a program's own variables are called in its result.
 RETURN = "return"
+#: The rule functions, which programs need where they run.
+FUNCTIONS = _functions.FUNCTIONS
 
 
 class Rule:

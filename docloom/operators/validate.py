@@ -42,7 +42,7 @@ def error_text_column(errors: Column) -> Column:
 class Validator:
     def __init__(self, spec: Any, flags: Flags = Flags(), ignored: set[str] | None = None) -> None:
         self.spec = parse_json(spec) if isinstance(spec, (str, bytes)) else spec
-        self.flags = flags
+        self.flags, self.ignored = flags, ignored
         self.schema: Schema = compile_schema(self.spec, flags, ignored)
 
     # one document in this process
@@ -129,7 +129,7 @@ class Validator:
             return self.apply(df, column, "__doc", "__errors", "__valid").where("__valid").select(*[f"`{c}`" for c in df.columns])
 
     def _interpret(self, df: DataFrame, column: str, doc: str, errors: str, valid: str) -> DataFrame:
-        spec, flags, ignored = self.spec, self.flags, None
+        spec, flags, ignored = self.spec, self.flags, self.ignored
         kept = [c for c in df.columns if c not in (doc, errors, valid)]
         dtype = df.schema[column].dataType
         source = F.col(f"`{column}`")

@@ -20,10 +20,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.functions import formats, templates
+from docloom.functions import formats, rules, templates
 from docloom.functions.values import ABSENT, Flags, format_float, plain, print_value, root_bool_of, root_equal, root_number_of, string_of
 from docloom.plans.columns import NotLowerable, Val, as_object, literal, with_key, without_keys
 from docloom.plans.paths import Index, Key, parse_path
+from docloom.plans.rules.interpreter import Machine
+from docloom.plans.rules.parser import RuleError, parse_program
 
 
 class SchemaError(ValueError):
@@ -230,6 +232,11 @@ def register_validator(name: str, make: Callable[[Any, Place], Step]) -> None:
     KEYWORDS[name] = make
 
 
+def ignore_keywords(*names: str) -> None:
+    """Let keywords be that say nothing to this engine."""
+    IGNORED.update(names)
+
+
 class Compiler:
     def __init__(self, flags: Flags = Flags(), ignored: set[str] | None = None) -> None:
         self.flags, self.ignored = flags, IGNORED | (ignored or set())
@@ -1685,8 +1692,6 @@ class Script(Write):
         self.program, self.path = program, path
 
     def run(self, ctx: Context, value: Any) -> None:
-        from docloom.plans.rules.interpreter import Machine
-
         machine = Machine({"$": value}, ctx.flags)
         machine.run(self.program)
         if machine.returned:
@@ -1695,8 +1700,6 @@ class Script(Write):
 
 @keyword("script")
 def _script(arg: Any, place: Place) -> Step:
-    from docloom.plans.rules.parser import RuleError, parse_program
-
     try:
         return Script(parse_program(arg), place.path)
     except RuleError as e:
@@ -1724,4 +1727,7 @@ def compile_schema(spec: Any, flags: Flags = Flags(), ignored: set[str] | None =
     return schema
 
 
-__all__ = ["Check", "Compiler", "Context", "ERROR", "Errors", "Index", "KEYWORDS", "Lowering", "Place", "Schema", "SchemaError", "Step", "add_comparator", "compile_schema", "register_validator"]
+#: The rule functions, which scripts need where they run.
+RULE_FUNCTIONS = rules.FUNCTIONS
+
+__all__ = ["Check", "Compiler", "Context", "ERROR", "Errors", "Index", "KEYWORDS", "Lowering", "Place", "Schema", "SchemaError", "Step", "add_comparator", "compile_schema", "ignore_keywords", "register_validator"]

@@ -79,6 +79,7 @@ GOLDEN = [
     ("sprintf('%d-%s', 3, 'x')", {}, "3-x"),
     ("'héllo'.slice(0, 3)", {}, "hé"),
     ("true || missing!!", {}, True),
+    ("g = go(x => 1 + 2); g.join()", {}, 3.0),
 ]
 
 

@@ -10,7 +10,7 @@ from docloom.operators.decode import DecodeError, decode, decode_column
 from docloom.operators.validate import ValidationError, Validator, error_text, register_schema, registered
 from docloom.plans.columns import Val
 from docloom.plans.infer import schema_of, struct_of
-from docloom.plans.schema import KEYWORDS, SchemaError, add_comparator
+from docloom.plans.schema import KEYWORDS, SchemaError, Step, add_comparator
 
 # keyword under `properties.x`, then values of x that pass and that fail; null and another kind follow below
 MATRIX = [
@@ -179,6 +179,22 @@ def test_user_extensions(spark):
     del KEYWORDS["longer"], templates.FUNCTIONS["twice"], formats.FORMATS["even"]
 
 
+def test_extensions_reach_the_interpreter_on_executors(spark):
+    class Never(Step):
+        def __init__(self, path):
+            self.path = path
+
+        def run(self, ctx, value):
+            ctx.add(self.path, "never")
+
+    templates.add_function("shout", lambda doc, flags, x: str(x).upper() + "!")
+    KEYWORDS["never"] = lambda arg, place: Never(place.path)
+    v = Validator({"never": 1, "set": {"c": ["shout()", "${a}"]}, "mine": 1}, ignored={"mine"})
+    row = v.apply(spark.createDataFrame([('{"a": "x"}',)], "d string"), "d").select(F.to_json("doc").alias("d"), "errors").first()
+    assert json.loads(row.d)["c"] == "X!" and [e["info"] for e in row.errors] == ["never"]
+    del KEYWORDS["never"], templates.FUNCTIONS["shout"]
+
+
 def test_templates():
     doc = {"line": "name", "__val.c": "age", "n": 5.0, "list": ["a", "b"]}
     t = lambda x: templates.parse(x).get(doc)
