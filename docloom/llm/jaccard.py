@@ -38,7 +38,7 @@ SHINGLE, PERCENT = 5, 75
 SKETCH_BITS, SKETCH_BLOCKS = 22, 16
 BUCKETS_A_PARTITION, FLUSH_BYTES, GROUP_BYTES = 8, 16 << 20, 4 << 20
 #: Rounds of leaders before all pairs across components; least cells of the upper bound, as a power of two.
-LEADERS, CELL_BITS = 4, 6
+LEADERS, CELL_BITS = 2, 6
 #: Below this size two sizes in a group key are exact; above, only the sets tell.
 SIZE_CLIP = (1 << 16) - 1
 
@@ -291,7 +291,7 @@ class Members:
 
     def __init__(self, cls: np.ndarray, n: np.ndarray, cells: list[bytes], labels: np.ndarray, percent: int) -> None:
         order = np.lexsort((cls, n))
-        self.cls, self.n, self.labels, self.percent = cls[order], n[order], labels[order], percent
+        self.order, self.cls, self.n, self.labels, self.percent = order, cls[order], n[order], labels[order], percent
         own = [open_cells(cells[k]) for k in order]
         self.width = np.array([len(c) for c in own])
         self.tables = {}
@@ -322,30 +322,21 @@ class Members:
                 lo = hi
         return out
 
-    def pairs_with(self, leader: int) -> Iterator[tuple[int, int]]:
-        """Pairs of one member with those of other labels."""
-        for i in range(leader):
-            if self.labels[i] != self.labels[leader] and self.may_link(i, leader, leader + 1)[0]:
-                yield i, leader
-        if leader + 1 < len(self.n):
-            good = self.may_link(leader, leader + 1, len(self.n)) & (self.labels[leader + 1 :] != self.labels[leader])
-            for j in np.flatnonzero(good).tolist():
-                yield leader, leader + 1 + j
-
-    def pairs(self) -> Iterator[tuple[int, int]]:
-        """All pairs of different labels."""
+    def pairs(self, key: int, lists: list[set[int]]) -> Iterator[tuple[int, int]]:
+        """All pairs of different labels whose first common list is this one, so that a pair is made once."""
         for i in range(len(self.n)):
             end = int(np.searchsorted(self.n, 100 * self.n[i] // self.percent, "right"))
             other = np.flatnonzero(self.labels[i + 1 : end] != self.labels[i]) + i + 1
             if len(other):
                 lo, hi = int(other[0]), int(other[-1]) + 1
                 good = self.may_link(i, lo, hi) & (self.labels[lo:hi] != self.labels[i])
-                for j in np.flatnonzero(good).tolist():
-                    yield i, lo + j
+                for j in (np.flatnonzero(good) + lo).tolist():
+                    if min(lists[i] & lists[j]) == key:
+                        yield i, j
 
 
-def _lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[int, Members]]:
-    """Members of each list, of rows (list, cls, n, cells, label) sorted by list."""
+def _lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[int, Members, pa.Table]]:
+    """Members of each list, and their rows, of rows (list, cls, n, cells, label, ...) sorted by list."""
     held: pa.Table | None = None
 
     def cut(table: pa.Table, whole: bool):
@@ -355,7 +346,7 @@ def _lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[in
         cls, n, labels = (np.asarray(table.column(c)) for c in ("cls", "n", "label"))
         cells = table.column("cells").to_pylist()
         for a, b in list(zip(cuts.tolist(), ends, strict=True))[: None if whole else -1]:
-            yield int(ids[a]), Members(cls[a:b], n[a:b], cells[a:b], labels[a:b], percent)
+            yield int(ids[a]), Members(cls[a:b], n[a:b], cells[a:b], labels[a:b], percent), table.slice(a, b - a)
         return table.slice(0 if whole else int(cuts[-1]))
 
     for batch in batches:
@@ -367,46 +358,69 @@ def _lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[in
 
 
 def _by_list(members: DataFrame) -> DataFrame:
-    return members.select("list", "cls", "n", "cells", "label").repartition(shuffle_partitions(members.sparkSession), "list").sortWithinPartitions("list")
+    return members.repartition(shuffle_partitions(members.sparkSession), "list").sortWithinPartitions("list")
 
 
 def live_members(members: DataFrame, percent: int) -> DataFrame:
     """The rows (list, cls) whose class may be similar to another one of the list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, m in _lists(batches, percent):
+        for key, m, _ in _lists(batches, percent):
             cls = m.cls[m.with_partner()]
             if len(cls):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cls), key)), pa.array(cls)], names=["list", "cls"])
 
-    return _by_list(members.withColumn("label", F.col("cls"))).mapInArrow(run, "list long, cls long")
+    rows = members.select("list", "cls", "n", "cells", F.col("cls").alias("label"))
+    return _by_list(rows).mapInArrow(run, "list long, cls long")
 
 
-def candidate_pairs(members: DataFrame, labels: DataFrame | None, percent: int, seed: int | None) -> DataFrame:
-    """Pairs of classes of different labels that may be similar: with each list's leader, or all where seed is None."""
+def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return members.withColumn("label", F.col("cls"))
+    return members.join(labels, members["cls"] == labels["node"], "left").withColumn("label", F.coalesce("label", "cls")).drop("node")
+
+
+def leader_pairs(live: DataFrame, classes: DataFrame, labels: DataFrame | None, percent: int, seed: int) -> DataFrame:
+    """Each member of a list with the list's leader of this round, if their labels differ and they may be similar.
+
+    The leader is the member of least hash, alike in most lists of a group of near copies.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: set[tuple[int, int]] = set()
-        for _, m in _lists(batches, percent):
-            if len(m.n) < 2 or (m.labels == m.labels[0]).all():
+        for batch in batches:
+            good = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "cells_a", "cells_b")), strict=True):
+                pair = Members(np.array([0, 1]), np.array([n, m]), [x, y], np.array([0, 1]), percent)
+                good.append(bool(pair.may_link(0, 1, 2)[0]))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    rows = labelled(live.select("list", "cls"), labels)
+    lead = rows.groupBy("list").agg(F.min(F.struct(F.xxhash64("cls", F.lit(seed)).alias("h"), "cls", "label")).alias("lead"))
+    pairs = rows.join(lead, "list").where(F.col("label") != F.col("lead.label"))
+    pairs = pairs.select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct()
+    for c in "ab":
+        pairs = pairs.join(classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("cells").alias(f"cells_{c}")), c)
+    pairs = pairs.where(F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
+    return pairs.select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(run, "a long, b long")
+
+
+def other_pairs(live: DataFrame, classes: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """All pairs of a list that have different labels and may be similar, each pair once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, m, rows in _lists(batches, percent):
+            if (m.labels == m.labels[0]).all():
                 continue
-            leader = None if seed is None else int(np.argmin(mix(m.cls.astype(np.uint64) + np.uint64(7919 * seed))))
-            new = []
-            for i, j in m.pairs() if leader is None else m.pairs_with(leader):
-                pair = tuple(sorted((int(m.cls[i]), int(m.cls[j]))))
-                if pair not in made:
-                    made.add(pair)
-                    new.append(pair)
-                if len(made) >= 1_000_000:  # only spares repeats
-                    made.clear()
+            lists = [set(x) for x in rows.column("lists").take(pa.array(m.order)).to_pylist()]
+            new = [sorted((int(m.cls[i]), int(m.cls[j]))) for i, j in m.pairs(key, lists)]
             if new:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in new], pa.int64()), pa.array([y for _, y in new], pa.int64())], names=["a", "b"])
 
-    if labels is None:
-        members = members.withColumn("label", F.col("cls"))
-    else:
-        members = members.join(labels, members["cls"] == labels["node"], "left").withColumn("label", F.coalesce("label", "cls"))
-    return _by_list(members).mapInArrow(run, "a long, b long").distinct()
+    rows = labelled(live, labels)
+    mixed = rows.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("list")
+    lists = live.groupBy("cls").agg(F.collect_set("list").alias("lists"))  # as many as the class has prefix tokens, at most
+    rows = rows.join(mixed, "list", "left_semi").join(classes.select("cls", "n", "cells"), "cls").join(lists, "cls")
+    return _by_list(rows.select("list", "cls", "n", "cells", "label", "lists")).mapInArrow(run, "a long, b long")
 
 
 def link(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -419,11 +433,11 @@ def link(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
     shared = classes.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select(F.col("grp").alias("list"), F.array("grp").alias("groups"))
     members = lists.union(shared).select("list", F.explode("groups").alias("grp")).join(classes.select("grp", "cls", "n", "cells"), "grp").select("list", "cls", "n", "cells")
     live = materialise(live_members(members, percent), "live")
-    members = materialise(live.join(classes.select("cls", "n", "cells"), "cls"), "members")
     sets = materialise(sets_of(documents, classes, live.select("cls").distinct(), shingle), "sets")
     edges = labels = None
     for seed in (*range(LEADERS), None):
-        pairs = materialise(candidate_pairs(members, labels, percent, seed), "pairs")
+        found = other_pairs(live, classes, labels, percent) if seed is None else leader_pairs(live, classes, labels, percent, seed)
+        pairs = materialise(found, "pairs")
         if pairs.isEmpty():
             continue
         found = materialise(verified(pairs, sets, percent), "links")
