@@ -132,6 +132,18 @@ def _reference(c: Column) -> Column:
     return ~bad & ~host.contains(" ") & ~host.rlike(r"^[^\[]*:[^\[\]]*[^0-9\[\]][^\[\]@]*$")
 
 
+def _address6(c: Column) -> Column:
+    """An IPv6 address: eight groups, or fewer around one `::`; the last two may be an IPv4 address."""
+    tail = F.regexp_extract(c, r"[^:]*\.[^:]*$", 0)
+    body = F.when(tail.rlike(IPV4), F.concat(F.regexp_replace(c, r"[^:]*\.[^:]*$", ""), F.lit("0:0"))).otherwise(c)
+    groups = F.split(body, ":", -1)
+    filled = F.filter(groups, lambda x: x != "")
+    plain = body.rlike(r"^[0-9A-Fa-f:]+\z") & F.forall(filled, lambda x: F.length(x) <= 4)
+    whole = (F.size(groups) == 8) & (F.size(filled) == 8)
+    short = body.contains("::") & ~body.rlike(r":::|::.*::|^:[^:]|[^:]:\z") & (F.size(filled) <= 7)
+    return plain & (whole | short)
+
+
 #: Name -> (Python predicate, Column predicate or None, message).
 FORMATS: dict[str, tuple[Callable[[str], bool], Callable[[Column], Column] | None]] = {
     "date-time": (is_date_time, lambda c: c.rlike(f"^{_DATE}T{_TIME}\\z") & _to_date(c)),
@@ -141,8 +153,8 @@ FORMATS: dict[str, tuple[Callable[[str], bool], Callable[[Column], Column] | Non
     "idn-email": (is_email, lambda c: c.rlike(EMAIL)),
     "hostname": (is_hostname, lambda c: c.rlike(HOSTNAME) & _short(c)),
     "idn-hostname": (is_idn_hostname, lambda c: _short(c) & (F.translate(c, IDN_DENIED, "") == c)),
-    "ipv4": (is_ipv4, None),
-    "ipv6": (is_ipv6, None),
+    "ipv4": (is_ipv4, lambda c: c.rlike(IPV4) | (c.contains(".") & c.contains(":") & _address6(c))),
+    "ipv6": (is_ipv6, lambda c: c.contains(":") & _address6(c)),
     "uri": (is_uri, lambda c: c.rlike(URI_SCHEME) & _reference(F.translate(c, "\\", "/"))),
     "iri": (is_uri, lambda c: c.rlike(URI_SCHEME) & _reference(F.translate(c, "\\", "/"))),
     "uri-reference": (is_uri_reference, _reference),

@@ -132,6 +132,8 @@ class Lowerer:
         #: What was returned, and whether anything was; None while no return was seen.
         self.returned: list[Val] | None = None
         self.done: Column | None = None
+        #: Whether returns differ in how many values they have.
+        self.ragged = False
 
     def value(self, n: p.Node) -> Val:
         method = getattr(self, "on_" + type(n).__name__, None)
@@ -220,6 +222,7 @@ class Lowerer:
             off = F.lit(False)
             self.done = F.when(test, off if done_yes is None else done_yes).otherwise(off if done_no is None else done_no)
             n = max(len(ret_yes or []), len(ret_no or []))
+            self.ragged |= ret_yes is not None and ret_no is not None and len(ret_yes) != len(ret_no)
             pad = lambda r: [*(r or []), *([nil()] * (n - len(r or [])))]
             self.returned = [merge(test, a, b) for a, b in zip(pad(ret_yes), pad(ret_no), strict=True)]
         return merge(test, yes, no)
@@ -261,6 +264,7 @@ class Lowerer:
         if self.done is None:
             self.returned, self.done = values, F.lit(True)
         else:
+            self.ragged |= self.returned is not None and len(self.returned) != len(values)
             before = [*(self.returned or []), *([nil()] * (len(values) - len(self.returned or [])))]
             after = [*values, *([nil()] * (len(before) - len(values)))]
             self.returned = [merge(self.done, a, b) for a, b in zip(before, after, strict=True)]

@@ -25,7 +25,8 @@ from docloom.functions.values import ABSENT, Flags, format_float, plain, print_v
 from docloom.plans.columns import NotLowerable, Val, as_object, literal, with_key, without_keys
 from docloom.plans.paths import Index, Key, parse_path
 from docloom.plans.rules.interpreter import Machine
-from docloom.plans.rules.parser import RuleError, parse_program
+from docloom.plans.rules.lower import Lowerer, assigned
+from docloom.plans.rules.parser import Call, Method, Node, RuleError, parse_program
 
 
 class SchemaError(ValueError):
@@ -1685,11 +1686,26 @@ def _call(arg: Any, place: Place) -> Step:
     return CallStep(templates.parse(arg))
 
 
-class Script(Write):
+#: Methods and functions that write into the values they are called on.
+MUTATING = {"set", "delete", "merge", "sort", "set_index", "append"}
+
+
+def _calls(node: Any) -> set[str]:
+    found = {node.name} if isinstance(node, (Call, Method)) else set()
+    for value in vars(node).values() if isinstance(node, Node) else ():
+        for item in value if isinstance(value, tuple) else (value,):
+            for part in item if isinstance(item, tuple) else (item,):
+                if isinstance(part, Node):
+                    found |= _calls(part)
+    return found
+
+
+class Script(Step):
     """A rule program with the document bound to `$`; a value it returns is an error."""
 
     def __init__(self, program: Any, path: str) -> None:
         self.program, self.path = program, path
+        self.writes = "$" in assigned(program) or bool(_calls(program) & MUTATING)
 
     def run(self, ctx: Context, value: Any) -> None:
         machine = Machine({"$": value}, ctx.flags)
@@ -1697,6 +1713,19 @@ class Script(Write):
         if machine.returned:
             ctx.add(self.path, f"err :{print_value(machine.returned)}")
 
+    def lower(self, low: Lowering, value: Val) -> tuple[Val, Errors]:
+        if self.writes:
+            raise NotLowerable("a script that writes into the document")
+        machine = Lowerer({"$": value}, low.flags)
+        machine.value(self.program)
+        if machine.ragged:
+            raise NotLowerable("returns of different lengths")
+        errors = Errors()
+        if machine.returned:
+            said = [F.when(v.is_nil(), "<nil>").otherwise(v.string_of()) for v in machine.returned]
+            errors.one(machine.done, self.path, F.concat(F.lit("err :["), F.concat_ws(" ", *said), F.lit("]")))
+        return value, errors
+
 
 @keyword("script")
 def _script(arg: Any, place: Place) -> Step:

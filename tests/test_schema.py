@@ -130,6 +130,26 @@ def test_foreach_runs_in_the_interpreter(spark):
     assert json.loads(validator.apply(df, "d").select(F.to_json("doc")).first()[0])["line"] == "nihao"
 
 
+def test_scripts(spark):
+    spec = {"script": [{"if": "$.age < 18", "then": ["return('young', $.age)"]}, {"if": "$.name == nil", "then": "return('nameless', nil)"}, "x = 1"]}
+    found = both(spark, spec, [{"age": 5}, {"age": 20}, {"age": 20, "name": "a"}])
+    assert [e for _, e in found] == [[("$", "err :[young 5]")], [("$", "err :[nameless <nil>]")], []]
+    ragged = Validator({"script": ["x = 1", {"if": "$.a == 1", "then": ["return(1, 2)"], "else": "return(3)"}]})
+    assert not ragged.lowerable and ragged.check({"a": 1})[1] == [("$", "err :[1 2]")]
+    writing = Validator({"script": ["$.n = 1", "delete($, 'm')"]})
+    assert not writing.lowerable and writing.check({"m": 2})[0] == {"n": 1.0}
+
+
+ADDRESSES = ["1.2.3.4", "::1", "::", "1::", "::ffff:1.2.3.4", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7:8::", "1::2::3", ":1", "1:", ":::", "12345::", "g::", "1:2:3:4:5:6:1.2.3.4", "1.2.3", "01.2.3.4", "::1.2.3.400", "", "1:2:3:4:5:6:7:1.2.3.4", "fe80::1:", ":1::2"]
+
+
+def test_addresses(spark):
+    df = spark.createDataFrame([(a,) for a in ADDRESSES], "a string").coalesce(1)
+    for name in ("ipv4", "ipv6"):
+        got = [r[0] for r in df.select(formats.column_of(name)(df.a)).collect()]
+        assert dict(zip(ADDRESSES, got, strict=True)) == {a: formats.FORMATS[name][0](a) for a in ADDRESSES}
+
+
 def test_references(spark):
     spec = {"$defs": {"n": {"maximum": 3}}, "properties": {"a": {"$ref": "#/$defs/n"}, "b": {"items": {"$ref": "#/$defs/n"}}}}
     found = both(spark, spec, [{"a": 1}, {"a": 9, "b": [1, 9]}])
