@@ -1443,7 +1443,7 @@ def _foreach(arg: Any, place: Place) -> Step:
 @keyword("$defs", "definitions")
 def _defs(arg: Any, place: Place) -> Step:
     need(isinstance(arg, dict), place, "$defs must be an object")
-    return Inert(None, {k: place.compiler.compile(v, f"{place.path}.{k}") for k, v in arg.items()})
+    return Inert(None, {k: place.compiler.compile(v, "$") for k, v in arg.items()})
 
 
 class Ref(Step):
