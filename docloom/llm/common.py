@@ -94,6 +94,7 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
     offsets, data = offsets_of(column), data_of(column)
     for lo, hi in row_slices(offsets, limit):
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+    pa.default_memory_pool().release_unused()  # what earlier batches took
 
 
 def is_space() -> np.ndarray:

@@ -32,7 +32,7 @@ from docloom.llm.common import Buckets, bucket_groups, in_one_row, large, materi
 #: Words in a window and in the runs whose least hash is the minimiser.
 WIDTH, SEED = 20, 4
 #: Buckets for each shuffle partition; bytes of strings that a map task packs at once, and that a reducer takes together.
-BUCKETS_A_PARTITION, FLUSH_BYTES, GROUP_BYTES = 8, 24 << 20, 4 << 20
+BUCKETS_A_PARTITION, FLUSH_BYTES, GROUP_BYTES = 8, 14 << 20, 4 << 20
 NULL_ID = -(2**63)
 
 
