@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import sys
 import tempfile
+import time
 import types
 import uuid
 from collections.abc import Callable, Iterator
@@ -38,15 +39,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write a table into the shared folder and read it back."""
+def materialise(df: DataFrame, name: str, settle: bool = False) -> DataFrame:
+    """Cut the lineage: write a table into the shared folder and read it back.
+
+    settle: wait until the shuffle files behind the table are gone, where a large one would
+    otherwise lie beside the next.
+    """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     # shuffle files of the plan that was written go once the driver has let go of it
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3 if settle else 1):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5 if settle else 0)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -250,7 +250,7 @@ def _cutter(width: int):
 def dedup(documents: DataFrame, width: int = WIDTH, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, the columns to keep, n_words, n_removed and kept: the words that stay, joined by one space."""
     # written first, so that the strings' shuffle files can go before the texts are dealt out
-    spans = materialise(repeated_spans(documents, width, seed), "spans").groupBy("doc", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = materialise(repeated_spans(documents, width, seed), "spans", settle=True).groupBy("doc", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
