@@ -422,6 +422,35 @@ def test_recordings_align(spark):
     assert audio.align(audio.fingerprint(df.limit(0))).count() == 0
 
 
+def pcm(rng, n):
+    """Bytes of invented prose, read as 8-bit samples."""
+    return " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 9))) for _ in range(n // 3))[:n].encode()
+
+
+def alignments(spark, rows):
+    df = spark.createDataFrame(rows, "id long, audio binary").repartition(3)
+    return audio.align(audio.fingerprint(df, "pcm8").persist()).collect()
+
+
+def test_copies_between_hops_align(spark):
+    rng = random.Random(8)
+    shifts = [1, 7, 13, 16, 24, 29, 32, 40, 51, 63, 97, 351]
+    texts = [pcm(rng, rng.choice((1800, 2600, 5000))) for _ in shifts]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, pcm(rng, shift) + t) for k, (shift, t) in enumerate(zip(shifts, texts, strict=True))]
+    found = {(r.id, r.aligned_id): r for r in alignments(spark, rows)}
+    assert set(found) == {(100 + k, k) for k in range(len(shifts))}  # brute force: each copy with its own text only
+    for k, shift in enumerate(shifts):
+        r = found[100 + k, k]
+        assert abs(r.shift - shift) <= audio.HOP // 4 and r.offset == int(np.floor(r.shift / audio.HOP + 0.5)) and r.bit_errors < 0.05 * r.bits
+
+
+def test_short_copies_align(spark):
+    rng = random.Random(9)
+    short, other = pcm(rng, 300), pcm(rng, 300)
+    out = alignments(spark, [(1, short), (2, other), (3, short), (4, short), (5, b""), (6, None), (7, b""), (None, short)])
+    assert sorted((r.id, r.aligned_id, r.shift, r.bit_errors) for r in out) == [(3, 1, 0, 0), (4, 1, 0, 0)]
+
+
 def test_wav_resampling():
     x = audio.decode_wav(wav(tone([440.0], 0.5, 16000), rate=16000))
     assert len(x) == 4000 and abs(np.abs(np.fft.rfft(x)).argmax() * 8000 / len(x) - 440) < 3
