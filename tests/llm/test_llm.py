@@ -451,6 +451,14 @@ def test_short_copies_align(spark):
     assert sorted((r.id, r.aligned_id, r.shift, r.bit_errors) for r in out) == [(3, 1, 0, 0), (4, 1, 0, 0)]
 
 
+def test_recordings_align_with_every_partner(spark):
+    rng = random.Random(10)
+    a, b, c = (pcm(rng, 4000) for _ in range(3))
+    out = alignments(spark, [(1, a), (2, b), (3, c), (4, a[:2500] + b[1500:])])
+    assert {(r.id, r.aligned_id) for r in out} == {(4, 1), (4, 2)}
+    assert all(r.bits < 32 * 45 for r in out)
+
+
 def test_wav_resampling():
     x = audio.decode_wav(wav(tone([440.0], 0.5, 16000), rate=16000))
     assert len(x) == 4000 and abs(np.abs(np.fft.rfft(x)).argmax() * 8000 / len(x) - 440) < 3
