@@ -459,6 +459,18 @@ def test_recordings_align_with_every_partner(spark):
     assert all(r.bits < 32 * 45 for r in out)
 
 
+def test_unrelated_recordings_do_not_align(spark):
+    rng = random.Random(11)
+    line, mine, theirs = pcm(rng, 1290), pcm(rng, 3000), pcm(rng, 3000)
+    # some landmarks shared by chance, or a passage of too few samples to tell, are no alignment
+    rows = [(1, mine), (2, theirs), (3, mine[:1000] + line), (4, line[:700] + theirs[1000:1900])]
+    assert alignments(spark, rows) == []
+    x, y = (np.random.default_rng(k).integers(0, 2**32, 60, dtype=np.uint32) for k in (1, 2))
+    y[20:40] = x[20:40]
+    y[30] ^= 7
+    assert audio.segment([x] * 4, [y] * 4, 0) == (3, 20)
+
+
 def test_wav_resampling():
     x = audio.decode_wav(wav(tone([440.0], 0.5, 16000), rate=16000))
     assert len(x) == 4000 and abs(np.abs(np.fft.rfft(x)).argmax() * 8000 / len(x) - 440) < 3
