@@ -98,6 +98,7 @@ def _partitioner(n_buckets: int, width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Buckets(n_buckets, FLUSH_BYTES, _pack, level=3)
         seen: dict[bytes, tuple[int, int, int]] = {}
+        twins: dict[tuple[bytes, int, int, int], int] = {}  # rows of another text at a holder's place
         settled: list[tuple[int, int, int, int]] = []
 
         def drain() -> Iterator[pa.RecordBatch]:
@@ -105,12 +106,13 @@ def _partitioner(n_buckets: int, width: int, seed: int):
                 yield _spans_batch(*zip(*settled, strict=True))
                 settled.clear()
             if seen:
-                kept = list(seen.values())
+                kept = [*seen.values(), *((doc, text, start, bucket) for (_, doc, text, start), bucket in twins.items())]
                 strings = np.empty(len(kept), dtype=object)
-                strings[:] = list(seen)
+                strings[:] = [*seen, *(string for string, *_ in twins)]
                 docs, hashes, starts, buckets = (np.array(c, dtype=np.int64) for c in zip(*kept, strict=True))
                 out.add(buckets, (docs, hashes, starts, strings), 0)
                 seen.clear()
+                twins.clear()
                 blobs = out.flush()
                 if blobs is not None:
                     yield _blob_batch(blobs)
@@ -136,7 +138,10 @@ def _partitioner(n_buckets: int, width: int, seed: int):
                     later = (doc, text, start)
                     if (doc, start) < (old[0], old[2]):
                         seen[string], later = (doc, text, start, bucket), old[:3]
-                    elif (doc, start) == (old[0], old[2]):  # repeated rows: one place, neither is earlier
+                    elif (doc, start) == (old[0], old[2]):  # one place, neither is earlier; a row of another text is posted too
+                        if text != old[1] and (string, doc, text, start) not in twins:
+                            twins[string, doc, text, start] = bucket
+                            size += len(string)
                         continue
                     settled.append((later[0], later[1], later[2], later[2] + count + width - 1))
                 if size >= FLUSH_BYTES:

@@ -476,3 +476,12 @@ def test_wav_resampling():
     assert len(x) == 4000 and abs(np.abs(np.fft.rfft(x)).argmax() * 8000 / len(x) - 440) < 3
     assert np.allclose(audio.decode_wav(wav(np.zeros(10), width=1)), 0)
     assert struct.calcsize("<I") == 4
+
+
+def test_texts_of_one_id_lose_repeats_each(spark):
+    rng = random.Random(12)
+    passage, tails = sentence(rng, 30), [sentence(rng, 12) for _ in range(4)]
+    rows = [*((5, passage + " " + tail) for tail in tails[1:]), (1, passage + " " + tails[0])]  # the earliest comes last
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = {r.text: r.n_removed for r in substring.dedup(df, width=8).collect()}
+    assert [out[t] for _, t in rows] == [30, 30, 30, 0]
