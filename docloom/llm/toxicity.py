@@ -151,7 +151,7 @@ class Model:
         decision = total / np.sqrt(np.maximum(norm, LEAST_NORM)) + self.bias
         count = np.bincount(rows, minlength=n)
         strength = np.clip((decision - HIT) / (FULL - HIT), 0, 1)
-        strength[1:][name[1:] == name[:-1]] = 0  # a unit said again at once counts once
+        strength[1:][(name[1:] == name[:-1]) & (rows[1:] == rows[:-1])] = 0  # a unit said again at once in a text counts once
         hits = np.bincount(rows, weights=strength, minlength=n)
         most = np.full(n, -1.0)
         np.maximum.at(most, rows, np.clip(decision, -1, 1))

@@ -485,3 +485,12 @@ def test_texts_of_one_id_lose_repeats_each(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     out = {r.text: r.n_removed for r in substring.dedup(df, width=8).collect()}
     assert [out[t] for _, t in rows] == [30, 30, 30, 0]
+
+
+def test_adjacent_copies_score_alike():
+    weights = np.random.default_rng(3).normal(0, 1, toxicity.DIMENSION)
+    model = toxicity.Model(weights, 5.0, np.zeros(1))
+    texts = [b"insult", b"insult", b"insult insult"]
+    alone, again, twice = model.evidence(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert alone[0] > 0 and np.array_equal(alone, again)
+    assert twice[0] == alone[0]  # within one text it counts once
