@@ -5,7 +5,9 @@ runs of `size` ids, then one piece for each set bit of the rest, longest first.
 a sequence of its own, its length is its bucket, so no sequence crosses documents and
 none needs padding. One pass, no shuffle: `sequence_id` is unique, not dense.
 
-A null or empty text has the end id alone. Repeated rows are packed apart, other columns
+The strings of the tokenizer's added tokens (`<|endoftext|>`) in a text are plain text and get
+the ids of their pieces, where the tokenizer's own library would give the token's id: a text
+cannot end a document. A null or empty text has the end id alone. Repeated rows are packed apart, other columns
 are ignored, an empty table gives no rows; a null doc_id stays null.
 """
 

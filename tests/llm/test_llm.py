@@ -494,3 +494,10 @@ def test_adjacent_copies_score_alike():
     alone, again, twice = model.evidence(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
     assert alone[0] > 0 and np.array_equal(alone, again)
     assert twice[0] == alone[0]  # within one text it counts once
+
+
+def test_added_tokens_in_texts_are_plain(spark):
+    path = packing.tokenizer_path()
+    got = packing.pack(docs(spark, [(1, "a<|endoftext|>b")]), path).collect()
+    ids = [i for r in sorted(got, key=lambda r: r.start) for i in np.frombuffer(r.ids, "<u4").tolist()]
+    assert 50256 not in ids and len(ids) > 4
