@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import hashlib
 import sys
-import tempfile
-import time
 import types
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,12 +12,14 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles; bounds a worker's memory, not what is processed.
 SLICE_BYTES = 1 << 20
-#: Odd multiplier of the rolling byte hash and a second one for word windows.
-BYTE_BASE = 0x9E3779B97F4A7C15 | 1
-WORD_BASE = 0xD6E8FEB86659FD93 | 1
+#: Odd multipliers of the two lanes of word hashes, and of joined hashes; words from LONG_WORD bytes are digested one by one.
+LANE, OTHER_LANE, JOINT, LONG_WORD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 64
+#: Rows of a key from which it may be dealt out, and the share of all rows: so fewer keys than HOT_SHARE are hot, whatever the input.
+HOT_ROWS, HOT_SHARE = 1000, 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,34 +27,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the session names none (tests)."""
+    """The folder that all executors share, as the session names it; in local mode, where none is needed, the JVM's own."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = sc._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
     if not path:
-        path = tempfile.mkdtemp(prefix="docloom-")
-        sc.setCheckpointDir(path)
-    return path
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = f"{sc._jvm.java.lang.System.getProperty('java.io.tmpdir')}/docloom-{sc.applicationId}"
+    return path.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str, settle: bool = False) -> DataFrame:
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write a table into the shared folder and read it back.
 
-    settle: wait until the shuffle files behind the table are gone, where a large one would
-    otherwise lie beside the next.
+    The shuffle files behind it go when it is written. The table goes by `drop`, or with the application.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # shuffle files of the plan that was written go once the driver has let go of it
-    del df
-    for _ in range(3 if settle else 1):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5 if settle else 0)
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    system, where = _hadoop(spark, path)
+    system.deleteOnExit(where)
+    out = spark.read.schema(schema).parquet(path)
+    out._docloom_path = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables of `materialise` that nothing reads any more."""
+    for table_ in tables:
+        path = getattr(table_, "_docloom_path", None)
+        if path:
+            system, where = _hadoop(table_.sparkSession, path)
+            system.delete(where, True)
+
+
+def hot_keys(rows: DataFrame, key: str, least: int = HOT_ROWS) -> DataFrame | None:
+    """`key` and `salts` of the keys with over `least` rows and one HOT_SHARE-th of all; None if there are none.
+
+    Fewer than HOT_SHARE rows by construction, so the result may be broadcast. `rows` should be a written table.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("k")).where((F.col("k") > least) & F.col(key).isNotNull())
+    limit = max(least, rows.count() // HOT_SHARE)
+    hot = counts.where(F.col("k") > limit).withColumn("salts", F.ceil(F.col("k") / limit).cast("int")).select(key, "salts")
+    found = hot.collect()
+    return rows.sparkSession.createDataFrame(found, hot.schema) if found else None
+
+
+def join_spread(many: DataFrame, one: DataFrame, key: str, by: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """`many` JOIN `one` on `key`, the rows of `many` with a hot key dealt over its salts by a hash of column `by`."""
+    if hot is None:
+        return many.join(one, key, how)
+    salts = F.broadcast(hot)
+    left = many.join(salts, key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("salts")), F.lit(0).cast("bigint"))).drop("salts")
+    right = one.join(salts, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1)).cast("bigint") - 1))).drop("salts")
+    return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -114,16 +156,21 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Start and end of each word (a run of no [\\x20\\x09-\\x0D]) and its row."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~is_space()[data]
-    cut = offsets[:-1][offsets[:-1] < len(data)]
-    before = np.empty_like(inside)
-    before[0], before[1:] = False, inside[:-1]
-    before[cut] = False
-    starts = np.flatnonzero(inside & ~before)
-    after = np.empty_like(inside)
-    after[-1], after[:-1] = False, inside[1:]
-    after[cut[cut > 0] - 1] = False
-    ends = np.flatnonzero(inside & ~after) + 1
+    space, starts, ends, last = is_space(), [], [], True
+    for a in range(0, len(data), SLICE_BYTES):  # by parts, so that a long text takes little beside its words
+        b = min(len(data), a + SLICE_BYTES)
+        outside = np.empty(b - a + 2, dtype=bool)
+        outside[0], outside[1:-1], outside[-1] = last, space[data[a:b]], b == len(data) or space[data[b]]
+        before, after = outside[:-2].copy(), outside[2:].copy()
+        cut = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b)] - a
+        before[cut] = True
+        cut = offsets[np.searchsorted(offsets, a, "right") : np.searchsorted(offsets, b, "right")] - a
+        after[cut - 1] = True
+        inside = ~outside[1:-1]
+        starts.append(np.flatnonzero(inside & before) + a)
+        ends.append(np.flatnonzero(inside & after) + a + 1)
+        last = bool(outside[-2])
+    starts, ends = np.concatenate(starts), np.concatenate(ends)
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
@@ -135,43 +182,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    cache = worker_cache("powers")
-    if len(cache.get(base, ())) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        out = np.full(size, base & (2**64 - 1), dtype=np.uint64)
-        out[0] = 1
-        cache[base] = np.multiply.accumulate(out)
-    return cache[base][:n]
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 2**64)
+def join_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each pair, in order."""
+    return mix(mix(a) * np.uint64(JOINT) + b)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word, by differences of one running sum."""
+    """A 64-bit hash of the bytes of each word: two lanes, each mixing its 8-byte blocks one after another."""
     out = np.empty(len(starts), dtype=np.uint64)
+    masks = np.array([0xFFFFFFFFFFFFFFFF >> (64 - 8 * k) if k else 0 for k in range(9)], dtype=np.uint64)
     a = 0
-    while a < len(starts):  # by parts of the bytes, so that the sums stay small
+    while a < len(starts):  # by parts of the bytes, which bounds what is copied
         b = max(a + 1, int(np.searchsorted(ends, starts[a] + SLICE_BYTES, "right")))
-        first, last = int(starts[a]), int(ends[b - 1])
-        total = np.zeros(last - first + 1, dtype=np.uint64)
-        np.cumsum((data[first:last].astype(np.uint64) + np.uint64(1)) * powers(BYTE_BASE, last - first), out=total[1:])
-        own, stop = starts[a:b] - first, ends[a:b] - first
-        out[a:b] = mix((total[stop] - total[own]) * powers(inverse(BYTE_BASE), last - first)[own] + (stop - own).astype(np.uint64))
+        size = ends[a:b] - starts[a:b]
+        short = np.flatnonzero(size < LONG_WORD)
+        first = int(starts[a])
+        last = int(ends[a + short[-1]]) if len(short) else first
+        raw = np.zeros(last - first + 8, dtype=np.uint8)
+        raw[: last - first] = data[first:last]
+        blocks = np.ndarray((last - first + 1,), dtype="<u8", buffer=raw, strides=(1,))
+        at, left = starts[a + short] - first, size[short]
+        one = left.astype(np.uint64) * np.uint64(LANE)
+        two = one ^ np.uint64(OTHER_LANE)
+        on = np.arange(len(short))
+        while len(on):
+            block = blocks[at[on]] & masks[np.minimum(left[on], 8)]
+            one[on] = mix(one[on] ^ block)
+            two[on] = mix(two[on] + block * np.uint64(OTHER_LANE))
+            at, left = at + 8, left - 8
+            on = on[left[on] > 0]
+        out[a + short] = join_hashes(one, two)
+        for k in np.flatnonzero(size >= LONG_WORD).tolist():
+            out[a + k] = int.from_bytes(hashlib.blake2b(data[starts[a + k] : ends[a + k]], digest_size=8).digest(), "little")
         a = b
     return out
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of each `width` consecutive words, rows not looked at."""
+    """A 64-bit hash of each `width` consecutive words, rows not looked at, by doubling."""
     if len(words) < width:
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * powers(WORD_BASE, len(words)), out=total[1:])
-    n = len(words) - width + 1
-    return mix((total[width:] - total[:-width]) * powers(inverse(WORD_BASE), n))
+    out, have, power, size = None, 0, words, 1
+    while True:
+        if width & size:
+            n = len(words) - have - size + 1
+            out, have = (power, size) if out is None else (join_hashes(out[:n], power[have : have + n]), have + size)
+        if have == width:
+            return out
+        power = join_hashes(power[:-size], power[size:])
+        size *= 2
 
 
 def in_one_row(rows: np.ndarray, width: int) -> np.ndarray:

@@ -13,11 +13,17 @@ they share, the sum of lesser counts over hash cells. Of the pairs that pass, th
 list are verified first, LEADERS times with other leaders; components of those links follow; then only
 members of different components are compared, so that a large group of near copies never
 makes all its pairs, while no link between components is lost. Pairs are verified on whole sets. Nothing is collected on the driver but
-the sketch and the number of edges.
+the sketch, the number of edges and hot keys, of which there are few by definition.
+
+No task holds a long list: its rows are dealt over salts where it is joined, and the comparison of
+components goes by units, a block of the members outside the largest component with a block of all.
+Shingles are told apart by 64 bits of a keyed, non-linear hash, classes by 128 bits; group and list keys
+that collide only make more candidates.
 
 Null or empty texts have an empty set and link with nothing; a null doc_id takes part but
 is never a component's least id unless alone; repeated rows are copies of one another;
-other columns are ignored.
+other columns are ignored, an empty table gives no rows. A long text is one row of a worker, whose memory
+grows with its words.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Buckets, bucket_groups, in_one_row, materialise, mix, shuffle_partitions, table, text_slices, to_buckets, window_hashes, word_hashes, words_of
+from docloom.llm.common import Buckets, bucket_groups, drop, hot_keys, in_one_row, join_spread, materialise, shuffle_partitions, table, text_slices, to_buckets, window_hashes, word_hashes, words_of
 
 SHINGLE, PERCENT = 5, 75
 #: Cells of the sketch as a power of two, and the blocks it is summed in.
@@ -39,6 +45,8 @@ SKETCH_BITS, SKETCH_BLOCKS = 22, 16
 BUCKETS_A_PARTITION, FLUSH_BYTES, GROUP_BYTES = 8, 16 << 20, 4 << 20
 #: Rounds of leaders before all pairs across components; least cells of the upper bound, as a power of two.
 LEADERS, CELL_BITS = 2, 6
+#: Members of a block of a list; lists that a task remembers, so as not to send one twice.
+BLOCK, REMEMBERED = 512, 1 << 20
 #: Below this size two sizes in a group key are exact; above, only the sets tell.
 SIZE_CLIP = (1 << 16) - 1
 
@@ -115,14 +123,17 @@ def prefix_of(tokens: np.ndarray, levels: np.ndarray, percent: int = PERCENT) ->
     return np.sort(tokens[np.argpartition(rank, size - 1)[:size]]) if size < n else tokens
 
 
-def group_key(prefix: np.ndarray, n: int) -> int:
+def group_digest(prefix: np.ndarray, n: int) -> bytes:
+    return hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest()
+
+
+def group_key(digest: bytes, n: int) -> int:
     """Signed 64-bit key of prefix and size; the size, up to SIZE_CLIP, in its low 16 bits."""
-    digest = hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=8).digest()
-    return (int.from_bytes(digest, "little", signed=True) & ~0xFFFF) | min(n, SIZE_CLIP)
+    return (int.from_bytes(digest[:8], "little", signed=True) & ~0xFFFF) | min(n, SIZE_CLIP)
 
 
-def class_key(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_key(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
 def cells_of(tokens: np.ndarray) -> bytes:
@@ -153,10 +164,11 @@ def document_classes(documents: DataFrame, levels: np.ndarray, shingle: int, per
                 n.append(len(tokens))
                 cells.append(cells_of(tokens) if len(tokens) else None)
                 cls.append(class_key(tokens) if len(tokens) else None)
-                grp.append(group_key(prefix_of(tokens, levels, percent), len(tokens)) if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, cls, grp)), pa.array(cells, pa.binary())], names=["doc_id", "n", "cls", "grp", "cells"])
+                grp.append(group_key(group_digest(prefix_of(tokens, levels, percent), len(tokens)), len(tokens)) if len(tokens) else None)
+            arrays = [pa.array(x, kind) for x, kind in ((n, pa.int64()), (cls, pa.binary()), (grp, pa.int64()), (cells, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n", "cls", "grp", "cells"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, cls long, grp long, cells binary")
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, cls binary, grp long, cells binary")
 
 
 def _pack(tokens: np.ndarray, groups: np.ndarray) -> bytes:
@@ -175,10 +187,11 @@ def candidate_lists(documents: DataFrame, levels: np.ndarray, shingle: int, perc
                 if not len(tokens):
                     continue
                 prefix = prefix_of(tokens, levels, percent)
-                key = group_key(prefix, len(tokens))
-                if key in posted:
+                digest = group_digest(prefix, len(tokens))
+                if digest in posted:
                     continue
-                posted.add(key)
+                posted.add(digest)
+                key = group_key(digest, len(tokens))
                 buckets = ((prefix & np.uint64(0xFFFFFFFF)) % np.uint64(n_buckets)).astype(np.int32)
                 blobs = out.add(buckets, (prefix >> np.uint64(16), np.full(len(prefix), key)), 20 * len(prefix))
                 if blobs is not None:
@@ -188,7 +201,7 @@ def candidate_lists(documents: DataFrame, levels: np.ndarray, shingle: int, perc
             yield blobs
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: set[int] = set()
+        made: set[bytes] = set()
         for blobs in bucket_groups(batches, GROUP_BYTES):
             halves = [np.frombuffer(b, dtype=np.uint64).reshape(2, -1) for b in blobs]
             tokens, groups = np.concatenate([h[0] for h in halves]), np.concatenate([h[1] for h in halves]).view(np.int64)
@@ -212,22 +225,33 @@ def candidate_lists(documents: DataFrame, levels: np.ndarray, shingle: int, perc
             found, keys = [], []
             raw = groups.tobytes()
             for a, b in zip(cuts[long].tolist(), ends[long].tolist(), strict=True):
-                key = int.from_bytes(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=8).digest(), "little", signed=True)
-                if key not in made:
-                    made.add(key)
-                    keys.append(key)
+                digest = hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest()
+                if digest not in made:
+                    made.add(digest)
+                    keys.append(int.from_bytes(digest[:8], "little", signed=True))
                     found.append(groups[a:b])
+            if len(made) > REMEMBERED:
+                made.clear()
             if keys:
                 flat = np.concatenate(found)
                 offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["list", "groups"])
 
     posted = documents.select(F.col("text").cast("string")).mapInArrow(post, "bucket int, blob binary")
-    return to_buckets(posted).mapInArrow(lists, "list long, groups array<long>").groupBy("list").agg(F.first("groups").alias("groups"))
+    return to_buckets(posted).mapInArrow(lists, "list long, groups array<long>").dropDuplicates(["list", "groups"])
+
+
+def with_classes(pairs: DataFrame, classes: DataFrame, *columns: str) -> DataFrame:
+    """The pairs with columns of both classes, those of a `<column>_a`; a class of very many pairs is dealt out."""
+    out = pairs
+    for c, other in ("ab", "ba"):
+        own = classes.select(F.col("cls").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns))
+        out = join_spread(out, own, c, other, hot_keys(pairs, c))
+    return out.select("a", "b", *(f"{x}_{c}" for x in columns for c in "ab"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are similar enough."""
+    """The pairs (a, b) of classes that are similar enough; `pairs` is a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,8 +264,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * common >= percent * (len(both) - common))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    left, right = (sets.select(F.col("cls").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long")
+    return with_classes(pairs, sets, "tokens").mapInArrow(run, "a binary, b binary")
 
 
 def sets_of(documents: DataFrame, classes: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
@@ -251,12 +274,12 @@ def sets_of(documents: DataFrame, classes: DataFrame, needed: DataFrame, shingle
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 sets = [s for _, s in shingle_sets(batch.column(0).slice(a, 500), shingle)]
-                yield pa.RecordBatch.from_arrays([pa.array([class_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([class_key(s) if len(s) else None for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "tokens"])
 
     ids = classes.join(needed, "cls", "left_semi").select("doc_id")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     same = texts["doc_id"].eqNullSafe(ids["doc_id"])
-    found = texts.join(ids, same, "left_semi").select("text").mapInArrow(run, "cls long, tokens binary").where("cls IS NOT NULL")
+    found = texts.join(ids, same, "left_semi").select("text").mapInArrow(run, "cls binary, tokens binary").where("cls IS NOT NULL")
     return found.dropDuplicates(["cls"])
 
 
@@ -266,7 +289,7 @@ def components(edges: DataFrame) -> DataFrame:
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.union(e.select("v", "u")) if large else e
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        joined = both.join(least, "u")
+        joined = join_spread(both, least, "u", "v", hot_keys(both, "u"))
         if large:
             return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
@@ -278,20 +301,23 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = mark(edges)
     while before[0]:
-        edges = materialise(star(star(edges, True), False), "edges")
+        half = materialise(star(edges, True), "edges")
+        drop(edges)
+        edges = materialise(star(half, False), "edges")
+        drop(half)
         after = mark(edges)
         if after == before:
             break
         before = after
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    return edges
 
 
 class Members:
-    """The classes of one candidate list, by size, and what they may share at most."""
+    """The classes of one candidate list, or of one unit of it, by size, and what they may share at most."""
 
-    def __init__(self, cls: np.ndarray, n: np.ndarray, cells: list[bytes], labels: np.ndarray, percent: int) -> None:
-        order = np.lexsort((cls, n))
-        self.order, self.cls, self.n, self.labels, self.percent = order, cls[order], n[order], labels[order], percent
+    def __init__(self, cls: list[bytes], n: np.ndarray, cells: list[bytes], labels: np.ndarray, percent: int) -> None:
+        order = np.argsort(n, kind="stable")
+        self.order, self.cls, self.n, self.labels, self.percent = order, [cls[k] for k in order], n[order], labels[order], percent
         own = [open_cells(cells[k]) for k in order]
         self.width = np.array([len(c) for c in own])
         self.tables = {}
@@ -322,32 +348,37 @@ class Members:
                 lo = hi
         return out
 
-    def pairs(self, key: int, lists: list[set[int]]) -> Iterator[tuple[int, int]]:
-        """All pairs of different labels whose first common list is this one, so that a pair is made once."""
+    def pairs(self, key: int, lists: list[set[int]], outer: np.ndarray, inner: np.ndarray, main: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Pairs of different labels, one of the outer block and one of the inner, whose first common list is this one.
+
+        Members outside the main component stand in both kinds of blocks: of two such the lesser is taken as the outer one.
+        """
         for i in range(len(self.n)):
             end = int(np.searchsorted(self.n, 100 * self.n[i] // self.percent, "right"))
-            other = np.flatnonzero(self.labels[i + 1 : end] != self.labels[i]) + i + 1
+            j = slice(i + 1, end)
+            wanted = (self.labels[j] != self.labels[i]) & ((outer[i] & inner[j]) | (inner[i] & outer[j]))
+            other = np.flatnonzero(wanted) + i + 1
             if len(other):
                 lo, hi = int(other[0]), int(other[-1]) + 1
-                good = self.may_link(i, lo, hi) & (self.labels[lo:hi] != self.labels[i])
+                good = self.may_link(i, lo, hi) & wanted[lo - i - 1 : hi - i - 1]
                 for j in (np.flatnonzero(good) + lo).tolist():
-                    if min(lists[i] & lists[j]) == key:
+                    x, y = (i, j) if self.cls[i] < self.cls[j] else (j, i)
+                    fits = outer[x] and inner[y] if not main[i] and not main[j] else True
+                    if fits and min(lists[i] & lists[j]) == key:
                         yield i, j
 
 
-def _lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[int, Members, pa.Table]]:
-    """Members of each list, and their rows, of rows (list, cls, n, cells, label, ...) sorted by list."""
+def _lists(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each list, or unit, of rows sorted by `keys`."""
     held: pa.Table | None = None
 
     def cut(table: pa.Table, whole: bool):
-        ids = np.asarray(table.column("list"))
-        cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        ends = [*cuts[1:].tolist(), len(ids)]
-        cls, n, labels = (np.asarray(table.column(c)) for c in ("cls", "n", "label"))
-        cells = table.column("cells").to_pylist()
-        for a, b in list(zip(cuts.tolist(), ends, strict=True))[: None if whole else -1]:
-            yield int(ids[a]), Members(cls[a:b], n[a:b], cells[a:b], labels[a:b], percent), table.slice(a, b - a)
-        return table.slice(0 if whole else int(cuts[-1]))
+        ids = [np.asarray(table.column(k)) for k in keys]
+        new = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in ids], axis=0)])
+        cuts = np.flatnonzero(new).tolist()
+        for a, b in list(zip(cuts, [*cuts[1:], table.num_rows], strict=True))[: None if whole else -1]:
+            yield table.slice(a, b - a)
+        return table.slice(0 if whole else cuts[-1])
 
     for batch in batches:
         if batch.num_rows:
@@ -357,30 +388,33 @@ def _lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[in
         yield from cut(held, True)
 
 
-def _by_list(members: DataFrame) -> DataFrame:
-    return members.repartition(shuffle_partitions(members.sparkSession), "list").sortWithinPartitions("list")
+def _numbered(values: list) -> np.ndarray:
+    at = {v: k for k, v in enumerate(dict.fromkeys(values))}
+    return np.array([at[v] for v in values], dtype=np.int64)
 
 
 def live_members(members: DataFrame, percent: int) -> DataFrame:
     """The rows (list, cls) whose class may be similar to another one of the list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, m, _ in _lists(batches, percent):
-            cls = m.cls[m.with_partner()]
-            if len(cls):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cls), key)), pa.array(cls)], names=["list", "cls"])
+        for rows in _lists(batches, ("list",)):
+            n = np.asarray(rows.column("n"))
+            m = Members(rows.column("cls").to_pylist(), n, rows.column("cells").to_pylist(), np.arange(len(n)), percent)
+            cls = [m.cls[k] for k in np.flatnonzero(m.with_partner())]
+            if cls:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cls), rows.column("list")[0].as_py())), pa.array(cls, pa.binary())], names=["list", "cls"])
 
-    rows = members.select("list", "cls", "n", "cells", F.col("cls").alias("label"))
-    return _by_list(rows).mapInArrow(run, "list long, cls long")
+    dealt = members.select("list", "cls", "n", "cells").repartition(shuffle_partitions(members.sparkSession), "list").sortWithinPartitions("list")
+    return dealt.mapInArrow(run, "list long, cls binary")
 
 
 def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return members.withColumn("label", F.col("cls"))
-    return members.join(labels, members["cls"] == labels["node"], "left").withColumn("label", F.coalesce("label", "cls")).drop("node")
+    return members.join(labels.select(F.col("u").alias("cls"), F.col("v").alias("label")), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
 
-def leader_pairs(live: DataFrame, classes: DataFrame, labels: DataFrame | None, percent: int, seed: int) -> DataFrame:
+def leader_pairs(live: DataFrame, hot: DataFrame | None, classes: DataFrame, labels: DataFrame | None, percent: int, seed: int) -> DataFrame:
     """Each member of a list with the list's leader of this round, if their labels differ and they may be similar.
 
     The leader is the member of least hash, alike in most lists of a group of near copies.
@@ -390,37 +424,55 @@ def leader_pairs(live: DataFrame, classes: DataFrame, labels: DataFrame | None,
         for batch in batches:
             good = []
             for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "cells_a", "cells_b")), strict=True):
-                pair = Members(np.array([0, 1]), np.array([n, m]), [x, y], np.array([0, 1]), percent)
+                pair = Members([b"a", b"b"], np.array([n, m]), [x, y], np.array([0, 1]), percent)
                 good.append(bool(pair.may_link(0, 1, 2)[0]))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     rows = labelled(live.select("list", "cls"), labels)
     lead = rows.groupBy("list").agg(F.min(F.struct(F.xxhash64("cls", F.lit(seed)).alias("h"), "cls", "label")).alias("lead"))
-    pairs = rows.join(lead, "list").where(F.col("label") != F.col("lead.label"))
-    pairs = pairs.select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct()
-    for c in "ab":
-        pairs = pairs.join(classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("cells").alias(f"cells_{c}")), c)
-    pairs = pairs.where(F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
-    return pairs.select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(run, "a long, b long")
+    pairs = join_spread(rows, lead, "list", "cls", hot).where(F.col("label") != F.col("lead.label"))
+    pairs = materialise(pairs.select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct(), "led")
+    found = with_classes(pairs, classes, "n", "cells")
+    found = found.where(F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
+    return found.mapInArrow(run, "a binary, b binary")
+
 
+def other_pairs(live: DataFrame, hot: DataFrame | None, classes: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """All pairs of a list that have different labels and may be similar, each pair once.
 
-def other_pairs(live: DataFrame, classes: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """All pairs of a list that have different labels and may be similar, each pair once."""
+    A list is cut into units: an outer block of members outside its largest component with an inner block of all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, m, rows in _lists(batches, percent):
-            if (m.labels == m.labels[0]).all():
-                continue
+        for rows in _lists(batches, ("list", "o", "i")):
+            key, cls = rows.column("list")[0].as_py(), rows.column("cls").to_pylist()
+            first = np.unique(_numbered(cls), return_index=True)[1]  # one in both blocks has two rows
+            is_outer = {c for c, x in zip(cls, rows.column("outer").to_pylist(), strict=True) if x}
+            is_inner = {c for c, x in zip(cls, rows.column("outer").to_pylist(), strict=True) if not x}
+            rows = rows.take(pa.array(first))
+            cls = rows.column("cls").to_pylist()
+            m = Members(cls, np.asarray(rows.column("n")), rows.column("cells").to_pylist(), _numbered(rows.column("label").to_pylist()), percent)
             lists = [set(x) for x in rows.column("lists").take(pa.array(m.order)).to_pylist()]
-            new = [sorted((int(m.cls[i]), int(m.cls[j]))) for i, j in m.pairs(key, lists)]
+            outer, inner = (np.array([c in x for c in m.cls]) for x in (is_outer, is_inner))
+            main = np.asarray(rows.column("main"))[m.order]
+            new = [sorted((m.cls[i], m.cls[j])) for i, j in m.pairs(key, lists, outer, inner, main)]
             if new:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in new], pa.int64()), pa.array([y for _, y in new], pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in new], pa.binary()), pa.array([y for _, y in new], pa.binary())], names=["a", "b"])
 
     rows = labelled(live, labels)
-    mixed = rows.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("list")
+    kinds = rows.groupBy("list", "label").agg(F.count("*").alias("k")).groupBy("list").agg(F.sum("k").alias("m"), F.max(F.struct("k", "label")).alias("top"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = kinds.where("top.k < m").select("list", F.col("top.label").alias("most"), blocks(F.col("m") - F.col("top.k")).alias("outers"), blocks(F.col("m")).alias("inners"))
+    rows = join_spread(rows, mixed, "list", "cls", hot).withColumn("main", F.col("label") == F.col("most"))
+    of = lambda count, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    common = ["list", "cls", "label", "main"]
+    inner = rows.select(*common, every("outers").alias("o"), of("inners", 1).alias("i"), F.lit(False).alias("outer"))
+    outer = rows.where("NOT main").select(*common, of("outers", 2).alias("o"), every("inners").alias("i"), F.lit(True).alias("outer"))
     lists = live.groupBy("cls").agg(F.collect_set("list").alias("lists"))  # as many as the class has prefix tokens, at most
-    rows = rows.join(mixed, "list", "left_semi").join(classes.select("cls", "n", "cells"), "cls").join(lists, "cls")
-    return _by_list(rows.select("list", "cls", "n", "cells", "label", "lists")).mapInArrow(run, "a long, b long")
+    dealt = inner.union(outer).join(classes.select("cls", "n", "cells"), "cls").join(lists, "cls")
+    dealt = dealt.repartition(shuffle_partitions(live.sparkSession), "list", "o", "i").sortWithinPartitions("list", "o", "i")
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
 def link(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -431,24 +483,33 @@ def link(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
     classes = materialise(classes, "classes")
     lists = candidate_lists(documents, levels, shingle, percent)
     shared = classes.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select(F.col("grp").alias("list"), F.array("grp").alias("groups"))
-    members = lists.union(shared).select("list", F.explode("groups").alias("grp")).join(classes.select("grp", "cls", "n", "cells"), "grp").select("list", "cls", "n", "cells")
-    live = materialise(live_members(members, percent), "live")
+    lists = lists.union(shared).select("list", F.explode("groups").alias("grp"))
+    members = materialise(join_spread(classes.select("grp", "cls", "n"), lists, "grp", "cls", hot_keys(classes, "grp")).select("list", "cls", "n"), "members")
+    hot = hot_keys(members, "list")
+    cold = members if hot is None else members.join(F.broadcast(hot), "list", "left_anti")
+    live = live_members(cold.join(classes.select("cls", "cells"), "cls"), percent)
+    if hot is not None:  # members of long lists need no partner to stay
+        live = live.union(members.join(F.broadcast(hot.select("list")), "list", "left_semi").select("list", "cls"))
+    live = materialise(live, "live")
+    drop(members)
     sets = materialise(sets_of(documents, classes, live.select("cls").distinct(), shingle), "sets")
-    edges = labels = None
+    labels = None
     for seed in (*range(LEADERS), None):
-        found = other_pairs(live, classes, labels, percent) if seed is None else leader_pairs(live, classes, labels, percent, seed)
+        found = other_pairs(live, hot, classes, labels, percent) if seed is None else leader_pairs(live, hot, classes, labels, percent, seed)
         pairs = materialise(found, "pairs")
         if pairs.isEmpty():
             continue
-        found = materialise(verified(pairs, sets, percent), "links")
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
-        edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    if labels is None:
-        labels = classes.select(F.col("cls").alias("node"), F.col("cls").alias("label")).limit(0)
-    labelled = rows.where("cls IS NOT NULL").join(labels, rows["cls"] == labels["node"], "left").select("doc_id", "n", F.coalesce("label", "cls").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = labelled.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        links = materialise(verified(pairs, sets, percent), "links")
+        edges = links if labels is None else links.union(labels.select(F.col("u").alias("a"), F.col("v").alias("b")))
+        before, labels = labels, components(edges)
+        drop(before, pairs, links)
+    drop(sets, live)
+    named = labelled(classes.select("cls", "doc_id"), labels)
+    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    hot = hot_keys(labels.select(F.col("v").alias("label")), "label") if labels is not None else None
+    named = join_spread(named, least, "label", "cls", hot).select("cls", "component_id")
+    full = rows.where("cls IS NOT NULL").select("doc_id", "n", "cls")
+    out = join_spread(full, named, "cls", "doc_id", hot_keys(full, "cls")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("cls IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.union(alone)
 

@@ -8,32 +8,37 @@ its first occurrence as text, never by hash alone.
 
 Hot groups: a super-k-mer that a flush of a map task holds twice is settled there (the
 later one surely repeats the earlier), so a bucket gets any string at most once per flush,
-however many copies there are. Buckets hold blobs, compressed, one bucket in memory at a
+however many copies there are. A minimiser found in very many places is split: one pass counts
+minimisers by CELLS hash cells, and windows whose minimiser lies in a cell of over one
+HOT_CELLS-th of all super-k-mers go by a second minimiser as well, the least of their runs in another
+order. That is decided by the window's own words, so equal windows still meet. Buckets hold blobs, compressed, one bucket in memory at a
 time. Documents without a repeated window send nothing to the last join but their text.
 
 The order of occurrences is (doc_id, start), a null doc_id first. Rows are told apart by
 (doc_id, text): repeated rows with both equal count as one document and are treated alike.
-A null text has no words; extra columns are kept where `dedup` is told so and never looked at.
+A null text has no words; extra columns are kept where `dedup` is told so and never looked at; an
+empty table gives no rows. A long text is one row of a worker, whose memory grows with its words.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Buckets, bucket_groups, in_one_row, large, materialise, shuffle_partitions, table, text_slices, to_buckets, window_hashes, word_hashes, words_of
+from docloom.llm.common import Buckets, bucket_groups, in_one_row, join_hashes, large, materialise, mix, shuffle_partitions, table, text_slices, to_buckets, window_hashes, word_hashes, words_of
 
 #: Words in a window and in the runs whose least hash is the minimiser.
 WIDTH, SEED = 20, 4
 #: Buckets for each shuffle partition; bytes of strings that a map task packs at once, and that a reducer takes together.
 BUCKETS_A_PARTITION, FLUSH_BYTES, GROUP_BYTES = 8, 14 << 20, 4 << 20
 NULL_ID = -(2**63)
+#: Cells that minimisers are counted in, and the share of all super-k-mers from which a cell is hot: fewer than HOT_CELLS can be.
+CELLS, HOT_CELLS = 1 << 14, 1 << 10
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -46,13 +51,23 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def super_kmers(data: np.ndarray, offsets: np.ndarray, width: int, seed: int):
-    """(row, first word in its row, windows, byte start, byte end, minimiser) of each super-k-mer, and the words."""
+def cells_of(minimisers: np.ndarray) -> np.ndarray:
+    return ((minimisers >> np.uint64(8)) % np.uint64(CELLS)).astype(np.int64)
+
+
+def super_kmers(data: np.ndarray, offsets: np.ndarray, width: int, seed: int, hot: np.ndarray | None = None):
+    """(row, first word in its row, windows, byte start, byte end, minimiser) of each super-k-mer, and the words.
+
+    hot: which cells hold minimisers that a second one splits.
+    """
     starts, ends, rows = words_of(data, offsets)
     empty = np.zeros(0, np.int64)
     if len(starts) < width:
         return (empty, empty, empty, empty, empty, np.zeros(0, np.uint64)), (starts, ends, rows)
-    least = sliding_least(window_hashes(word_hashes(data, starts, ends), seed), width - seed + 1)
+    runs = window_hashes(word_hashes(data, starts, ends), seed)
+    least = sliding_least(runs, width - seed + 1)
+    if hot is not None and (split := hot[cells_of(least)]).any():
+        least = np.where(split, join_hashes(least, sliding_least(mix(runs ^ np.uint64(CELLS)), width - seed + 1)), least)
     at = np.flatnonzero(in_one_row(rows, width))
     least = least[at]
     if not len(at):
@@ -92,7 +107,25 @@ def _blob_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["doc", "text_hash", "lo", "hi", "bucket", "blob"])
 
 
-def _partitioner(n_buckets: int, width: int, seed: int):
+def hot_cells(documents: DataFrame, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
+    """Which cells hold over one HOT_CELLS-th of all super-k-mers, by a count over all documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in text_slices(batch.column(0)):
+                total += np.bincount(cells_of(super_kmers(data, offsets, width, seed)[0][5]), minlength=CELLS)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "k"])
+
+    counts = documents.select(F.col("text").cast("string")).mapInArrow(count, "cell long, k long").groupBy("cell").agg(F.sum("k").alias("k"))
+    rows = counts.select("cell", "k", (F.sum("k").over(Window.partitionBy(F.lit(0))) / HOT_CELLS).alias("least")).where("k > least")  # CELLS rows at most
+    out = np.zeros(CELLS, dtype=bool)
+    out[[r.cell for r in rows.collect()]] = True
+    return out
+
+
+def _partitioner(n_buckets: int, width: int, seed: int, hot: np.ndarray):
     table_ = bytes(32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +155,7 @@ def _partitioner(n_buckets: int, width: int, seed: int):
             ids = batch.column(0).fill_null(NULL_ID).to_numpy()
             hashes = batch.column(1).to_numpy()
             for lo, _, data, offsets in text_slices(batch.column(2)):
-                (row, first, n, a, b, least), _ = super_kmers(data, offsets, width, seed)
+                (row, first, n, a, b, least), _ = super_kmers(data, offsets, width, seed, hot)
                 raw = data.tobytes().translate(table_)
                 buckets = ((least >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
                 docs, texts = ids[row + lo].tolist(), hashes[row + lo].tolist()
@@ -168,6 +201,7 @@ def _repeats(blobs: list[bytes], width: int) -> Iterator[pa.RecordBatch]:
     same = key[1:] == key[:-1]
     keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
     at, key = at[order[keep]], key[keep]
+    every = at
     if not len(at):
         return
     row = rows[at]
@@ -190,15 +224,36 @@ def _repeats(blobs: list[bytes], width: int) -> Iterator[pa.RecordBatch]:
     last = n + width - 2
     spans = zip(starts[a].tolist(), ends[a + last].tolist(), starts[b].tolist(), ends[b + last].tolist(), strict=True)
     true = np.fromiter((raw[p:q] == raw[r:s] for p, q, r, s in spans), dtype=bool, count=len(a))
-    if not true.all():
-        raise ValueError("two windows of one hash differ; change WORD_BASE")
+    if not true.all():  # windows of one hash that differ: those of such a run are told apart by their words
+        false = np.repeat(~true, n)
+        doubt = np.isin(windows[every], np.unique(windows[at[false]]))
+        yield _by_words(raw, starts, ends, every[doubt], docs, hashes, first, rows, width)
+        sure = ~np.isin(windows[at], np.unique(windows[at[false]]))
+        at, row, start = at[sure], row[sure], start[sure]
+        cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])])) if len(at) else at
+        n = np.diff(np.append(cut, len(at)))
     r, s = row[cut], start[cut]
     yield _spans_batch(docs[r], hashes[r], s, s + n + width - 1)
 
 
+def _by_words(raw, starts, ends, windows, docs, hashes, first, rows, width: int) -> pa.RecordBatch:
+    """Spans of the given windows that repeat an earlier one word for word."""
+    held: dict[bytes, list[int]] = {}
+    for k in windows.tolist():
+        held.setdefault(raw[starts[k] : ends[k + width - 1]], []).append(k)
+    found = []
+    for same in held.values():
+        row = rows[np.array(same)]
+        places = [(int(docs[r]), int(first[r] + k - np.searchsorted(rows, r, "left")), int(hashes[r])) for r, k in zip(row.tolist(), same, strict=True)]
+        origin = min(p[:2] for p in places)
+        found += [(doc, text, at, at + width) for doc, at, text in places if (doc, at) != origin]
+    return _spans_batch(*zip(*found, strict=True)) if found else _spans_batch([], [], [], [])
+
+
 def repeated_spans(documents: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """doc, text_hash and word ranges [lo, hi) of windows that start earlier elsewhere."""
     n_buckets = BUCKETS_A_PARTITION * shuffle_partitions(documents.sparkSession)
+    hot = hot_cells(documents, width, seed)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settled, blobs = [], None
@@ -218,7 +273,7 @@ def repeated_spans(documents: DataFrame, width: int = WIDTH, seed: int = SEED) -
         yield from settled
 
     rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.col("text").cast("string"))
-    found = rows.mapInArrow(_partitioner(n_buckets, width, seed), SPANS)
+    found = rows.mapInArrow(_partitioner(n_buckets, width, seed, hot), SPANS)
     dealt = to_buckets(found.withColumn("bucket", F.coalesce("bucket", (F.pmod(F.hash("doc", "lo"), F.lit(n_buckets))).cast("int"))))
     return dealt.mapInArrow(reduce, "doc long, text_hash long, lo int, hi int")
 
@@ -254,8 +309,8 @@ def _cutter(width: int):
 
 def dedup(documents: DataFrame, width: int = WIDTH, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, the columns to keep, n_words, n_removed and kept: the words that stay, joined by one space."""
-    # written first, so that the strings' shuffle files can go before the texts are dealt out
-    spans = materialise(repeated_spans(documents, width, seed), "spans", settle=True).groupBy("doc", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    # written first, so that the strings' shuffle files go before the texts are dealt out
+    spans = materialise(repeated_spans(documents, width, seed), "spans").groupBy("doc", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),

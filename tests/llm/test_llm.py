@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import audio, bpe, chat, jaccard, langid, packing, quality, secrets, substring, toxicity
+from docloom.llm import audio, bpe, chat, common, jaccard, langid, packing, quality, secrets, substring, toxicity
 from docloom.llm.pretokens import PATTERN, splitter
 
 tokenizers = pytest.importorskip("public_tokenizers")
@@ -347,10 +347,87 @@ def test_bound_never_loses_a_link():
         a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[: int(len(a) * rng.uniform(0.5, 1))], rng.integers(0, 2**63, int(rng.integers(1, 60)), dtype=np.uint64)]))
         both = len(np.intersect1d(a, b))
-        m = jaccard.Members(np.array([1, 2]), np.array([len(a), len(b)]), [jaccard.cells_of(a), jaccard.cells_of(b)], np.array([1, 2]), 75)
+        m = jaccard.Members([b"1", b"2"], np.array([len(a), len(b)]), [jaccard.cells_of(a), jaccard.cells_of(b)], np.array([1, 2]), 75)
         if 100 * both >= 75 * (len(a) + len(b) - both):
             assert m.with_partner().all() and m.may_link(0, 1, 2)[0]
-            assert len(list(m.pairs(5, [{5, 9}, {9, 5}]))) == 1 and not list(m.pairs(9, [{5, 9}, {9, 5}]))
+            pairs = lambda key, *blocks: list(m.pairs(key, [{5, 9}, {9, 5}], *(np.array(x) for x in blocks)))
+            all_, none = [True, True], [False, False]
+            assert len(pairs(5, all_, all_, none)) == 1 and not pairs(9, all_, all_, none)
+            assert len(pairs(5, [True, False], [False, True], [False, True])) == 1 and not pairs(5, [True, False], [True, False], [False, True])
+            assert len(pairs(5, [True, False], [False, True], none)) + len(pairs(5, [False, True], [True, False], none)) == 1
+
+
+def alike_by_sums(n):
+    """Two words of n bytes whose every polynomial hash modulo 2^64 is the same."""
+    word = bytes(97 + bin(k).count("1") % 2 for k in range(n))
+    return word.decode(), bytes(195 - b for b in word).decode()
+
+
+def test_words_of_equal_sums_differ(spark):
+    a, b = alike_by_sums(1024)
+    rows = [(1, f"{a} " * 24), (2, f"{b} " * 24), (3, f"{a} " * 24)]
+    data, offsets = toxicity.rows_of([f"{a} {b}"])
+    x, y = common.word_hashes(data, *common.words_of(data, offsets)[:2])
+    assert x != y
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(docs(spark, rows)).collect()}
+    assert out == {1: (1, 1), 2: (1, 2), 3: (1, 1)}
+    cut = {r.doc_id: r.n_removed for r in substring.dedup(docs(spark, rows)).collect()}
+    want = brute_dedup(rows, 20)
+    assert cut == {i: want[i, t][1] for i, t in rows}
+
+
+def test_words_and_hashes_by_parts(monkeypatch):
+    rng = random.Random(21)
+    for size in (1 << 20, 7, 64):
+        monkeypatch.setattr(common, "SLICE_BYTES", size)
+        texts = ["".join(rng.choice(" \n\tab1é\x0b") for _ in range(rng.randint(0, 40))) + "z" * rng.choice([0, 3, 70, 200]) for _ in range(40)]
+        data, offsets = toxicity.rows_of(texts)
+        starts, ends, rows = common.words_of(data, offsets)
+        got = [(int(k), bytes(data[a:b]).decode()) for a, b, k in zip(starts, ends, rows, strict=True)]
+        assert got == [(k, w) for k, t in enumerate(texts) for w in WORD.findall(t)]
+        for width in (1, 2, 3, 5, 20):
+            hashes = common.window_hashes(common.word_hashes(data, starts, ends), width)
+            windows = [tuple(w for _, w in got[k : k + width]) for k in range(len(got) - width + 1)]
+            assert len(set(zip(hashes.tolist(), windows, strict=True))) == len(set(windows)) == len(set(hashes.tolist()))
+
+
+def test_repeats_of_colliding_hashes(monkeypatch):
+    rng = random.Random(13)
+    rows = [(k, " ".join(rng.choice("ab") for _ in range(30))) for k in range(12)]
+    blob = substring._pack(*(np.array(x) for x in ([k for k, _ in rows], [0] * 12, [0] * 12)), np.array([t.encode() for _, t in rows], dtype=object))
+    want = brute_dedup(rows, 6)
+    true_hashes = substring.window_hashes
+    for mask in (2**64 - 1, 15, 1, 0):
+        monkeypatch.setattr(substring, "window_hashes", lambda words, width, mask=mask: true_hashes(words, width) & np.uint64(mask))
+        gone = {k: set() for k, _ in rows}
+        for batch in substring._repeats([blob], 6):
+            for r in batch.to_pylist():
+                gone[r["doc"]] |= set(range(r["lo"], r["hi"]))
+        assert {k: len(x) for k, x in gone.items()} == {k: want[k, t][1] for k, t in rows}
+
+
+def test_split_minimisers_lose_no_window(spark, monkeypatch):
+    monkeypatch.setattr(substring, "HOT_CELLS", 1 << 30)  # every cell is hot
+    rows = corpus()
+    want = brute_dedup(rows, 20)
+    for r in substring.dedup(docs(spark, rows)).collect():
+        assert (r.n_removed, r.kept) == want[-(2**63) if r.doc_id is None else r.doc_id, r.text or ""][1:]
+
+
+@pytest.mark.parametrize("block", [1, 4])
+def test_long_lists_are_dealt_out(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "LEADERS", block // 4)
+    monkeypatch.setattr(jaccard, "hot_keys", lambda rows, key: common.hot_keys(rows, key, 2))
+    rng = random.Random(17)
+    rows, words = corpus(), sentence(rng, 120).split()
+    for k in range(25):  # some edits part them, some do not
+        own = list(words)
+        for at in rng.sample(range(120), k % 5):
+            own[at] = f"n{k}"
+        rows.append((600 + k, " ".join(own)))
+    out = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.link(docs(spark, rows)).collect())
+    assert out == brute_components(rows, 5, 75)
 
 
 # ---- 1: audio
