@@ -3,12 +3,21 @@
 Encoding: the pre-tokenizer's matches are looked up among the ranks; words that are no
 token become token-position rows in DuckDB. A recursive query joins neighbours with the
 merge table and contracts each word's leftmost pair of minimum rank until no pair is left.
+Words longer than a block of positions take the same steps, many to a round. A block is twice as long as the
+longest token, so no contraction that comes earlier can reach a pair from beyond the block beside its own. Where
+the least rank of three blocks is r, all pairs of rank r in the middle one are contracted at once, of overlapping
+ones (`aaa`) each second from the left, if no such contraction can make a pair of lesser rank (and, for a run of overlapping
+ones, if that holds in all its blocks); otherwise the leftmost alone. Ids are those of one
+contraction at a time, after as many rounds as a block takes.
+
 Words are encoded once and kept for the worker's life (at most CACHE_WORDS of them; the
 cache is emptied when full, which costs time and changes nothing). Decoding: id-position rows join the
-vocabulary and an ordered aggregation puts the bytes together.
+vocabulary and an ordered aggregation puts the bytes together, in slices also within a row.
 
 No shuffle. A null text counts as empty, an empty text has no ids; repeated rows are
-encoded apart, a null doc_id stays null, other columns are ignored.
+encoded apart, a null doc_id stays null, other columns are ignored, an empty table gives no rows. A
+long text is split by parts where the pattern is the public one; one match of the pattern is held whole, at some 150
+bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -22,14 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import large, offsets_of, row_slices, table, worker_cache
-from docloom.llm.pretokens import splitter
+from docloom.llm.pretokens import PART_CHARS, PATTERN, parts, splitter
 
 CACHE_WORDS = 1_000_000
-#: Text that is split at once, rows of one recursive query, ids of one decoding query.
-SPLIT_BYTES, QUERY_BYTES, DECODE_IDS = 2 << 20, 400_000, 1_000_000
-
-#: Longer words would take the query as many rounds as they have merges; a heap contracts them in the same order.
-LONG_WORD = 4096
+#: Text that is split at once, bytes of words in one recursive query, ids of one decoding query.
+SPLIT_BYTES, QUERY_BYTES, DECODE_IDS = 2 << 20, 400_000, 250_000
+#: Rounds of one recursive query over long words, whose rows are all held, and rows of it in all; memory of a worker's database.
+ROUNDS, QUERY_ROWS, MEMORY = 16, 4_000_000, "1GB"
 
 MERGE = """
 WITH RECURSIVE state(w, pos, tok, done) AS (
@@ -45,7 +53,42 @@ WITH RECURSIVE state(w, pos, tok, done) AS (
    FROM pairs p JOIN least l ON p.w = l.w
    WHERE l.best IS NULL OR p.pos <> (l.best & 4194303))
 )
-SELECT w, tok FROM state WHERE done ORDER BY w, pos
+SELECT w, pos, tok, true AS done FROM state WHERE done
+"""
+#: The same for words of several blocks: `wild` pairs may make one of lesser rank, `nth` counts overlapping pairs of one rank.
+MERGE_LONG = """
+WITH RECURSIVE state(w, pos, tok, done, round) AS (
+  SELECT w, pos, tok, false, 0 FROM base
+  UNION ALL
+  (WITH pairs AS MATERIALIZED (
+     SELECT p.*, p.pos // {block} AS block, m.rank, m.rank IS NOT NULL AND (coalesce(x.rank, m.rank) < m.rank OR coalesce(y.rank, m.rank) < m.rank OR coalesce(z.rank, m.rank) < m.rank) AS wild
+     FROM (SELECT w, pos, tok, round, lag(tok) OVER own AS before, lead(tok) OVER own AS follows, lead(tok, 2) OVER own AS later, lead(pos) OVER own AS next
+           FROM state WHERE NOT done AND round < {rounds} WINDOW own AS (PARTITION BY w ORDER BY pos)) p
+     LEFT JOIN merges m ON m.pair = ((p.tok::BIGINT << 24) | p.follows)
+     LEFT JOIN merges x ON x.pair = ((p.before::BIGINT << 24) | m.rank)
+     LEFT JOIN merges y ON y.pair = ((m.rank::BIGINT << 24) | p.later)
+     LEFT JOIN merges z ON z.pair = ((m.rank::BIGINT << 24) | m.rank)),
+   runs AS (
+     SELECT *, row_number() OVER (PARTITION BY w, run ORDER BY pos) AS nth FROM (
+       SELECT *, sum(CASE WHEN rank = last_rank THEN 0 ELSE 1 END) OVER own AS run FROM (
+         SELECT *, lag(rank) OVER own AS last_rank FROM pairs WINDOW own AS (PARTITION BY w ORDER BY pos))
+       WINDOW own AS (PARTITION BY w ORDER BY pos ROWS UNBOUNDED PRECEDING))),
+   least AS MATERIALIZED (SELECT w, block, min(2 * rank + (NOT wild)::INT) AS best, min((rank::BIGINT << 40) | pos) AS place FROM pairs GROUP BY w, block),
+   near AS (
+     SELECT w, block, least(best, lag(best) OVER own, lead(best) OVER own) AS best, least(place, lag(place) OVER own, lead(place) OVER own) AS place
+     FROM least WINDOW own AS (PARTITION BY w ORDER BY block)),
+   chosen AS MATERIALIZED (
+     SELECT w, pos, rank, next FROM (
+       SELECT r.w, r.pos, r.rank, r.next, r.nth, ((r.rank::BIGINT << 40) | r.pos) = n.place AND n.best & 1 = 0 AS alone,
+         bool_and(n.best = 2 * r.rank + 1) OVER (PARTITION BY r.w, r.run) AS whole
+       FROM runs r JOIN near n ON n.w = r.w AND n.block = r.block WHERE r.rank IS NOT NULL)
+     WHERE alone OR whole AND nth & 1 = 1),
+   over AS (SELECT w FROM least GROUP BY w HAVING max(best) IS NULL)
+   SELECT p.w, p.pos, coalesce(c.rank, p.tok), o.w IS NOT NULL, p.round + 1
+   FROM pairs p LEFT JOIN chosen c ON c.w = p.w AND c.pos = p.pos LEFT JOIN over o ON o.w = p.w
+   WHERE NOT EXISTS (SELECT 1 FROM chosen d WHERE d.w = p.w AND d.next = p.pos))
+)
+SELECT w, pos, tok, done FROM state WHERE done OR round = {rounds}
 """
 DECODE = "SELECT doc, array_to_string(list(bytes ORDER BY pos), '') AS bytes FROM ids JOIN vocabulary USING (id) GROUP BY doc"
 
@@ -62,9 +105,11 @@ class Codec:
         import duckdb
 
         self.ranks, self.split, self.words = ranks, splitter(pattern), {}
+        self.parts = parts if pattern == PATTERN else lambda text: [text]
+        self.block = 2 * max(map(len, ranks))
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         pairs = [(a << 24 | b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         self.db.register("pairs", pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int32())}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM pairs")
         self.db.register("tokens", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array([t.decode("latin-1") for t in ranks], pa.string())}))
@@ -74,73 +119,53 @@ class Codec:
         """Encode words that are not known yet."""
         if len(self.words) + len(words) > CACHE_WORDS:
             self.words.clear()
-        batch, size = [], 0
+        batch = []
         for word in words:
             raw = word.encode("utf-8", "surrogatepass")
             rank = self.ranks.get(raw)
             if rank is not None:
                 self.words[word] = rank.to_bytes(4, "little")
-                continue
-            if len(raw) > LONG_WORD:
-                self.words[word] = self._contract(raw)
-                continue
-            batch.append((word, raw))
+            else:
+                batch.append((word, raw))
+        batch.sort(key=lambda x: len(x[1]))  # words of like lengths need like numbers of rounds
+        lo, size = 0, 0
+        for hi, (_, raw) in enumerate(batch):
+            if size and (size + len(raw) > QUERY_BYTES or (len(raw) > self.block) != (len(batch[lo][1]) > self.block)):
+                self._merge(batch[lo:hi])
+                lo, size = hi, 0
             size += len(raw)
-            if size >= QUERY_BYTES:
-                self._merge(batch)
-                batch, size = [], 0
         if batch:
-            self._merge(batch)
+            self._merge(batch[lo:])
 
     def _merge(self, batch: list[tuple[str, bytes]]) -> None:
+        """Contract the words until no pair is left."""
         sizes = np.array([len(raw) for _, raw in batch])
-        data = np.frombuffer(b"".join(raw for _, raw in batch), dtype=np.uint8)
         starts = np.cumsum(sizes) - sizes
-        base = pa.table({
-            "w": np.repeat(np.arange(len(batch), dtype=np.int32), sizes),
-            "pos": (np.arange(len(data)) - np.repeat(starts, sizes)).astype(np.int32),
-            "tok": self.byte_ids[data],
-        })
-        self.db.register("base", base)
-        found = self.db.sql(MERGE).to_arrow_table()
-        ids = np.asarray(found.column("tok")).astype("<u4").tobytes()
-        cuts = 4 * np.searchsorted(np.asarray(found.column("w")), np.arange(len(batch) + 1))
+        w = np.repeat(np.arange(len(batch), dtype=np.int32), sizes)
+        pos = (np.arange(sizes.sum()) - np.repeat(starts, sizes)).astype(np.int32)
+        tok = self.byte_ids[np.frombuffer(b"".join(raw for _, raw in batch), dtype=np.uint8)]
+        finished: list[tuple[np.ndarray, ...]] = []
+        while len(w):
+            rounds = max(1, min(ROUNDS, QUERY_ROWS // len(w)))
+            self.db.register("base", pa.table({"w": w, "pos": pos, "tok": tok}))
+            found = self.db.sql(MERGE_LONG.format(block=self.block, rounds=rounds) if sizes[-1] > self.block else MERGE).to_arrow_table()
+            w, pos, tok, done = (found.column(c).to_numpy() for c in ("w", "pos", "tok", "done"))
+            finished.append((w[done], pos[done], tok[done]))
+            w, pos, tok = w[~done], pos[~done], tok[~done]
+        w, pos, tok = (np.concatenate(x) for x in zip(*finished, strict=True))
+        order = np.lexsort((pos, w))
+        w, ids = w[order], tok[order].astype("<u4").tobytes()
+        cuts = 4 * np.searchsorted(w, np.arange(len(batch) + 1))
         for (word, _), a, b in zip(batch, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             self.words[word] = ids[a:b]
 
-    def _contract(self, raw: bytes) -> bytes:
-        """The ids of one long word: leftmost pair of minimum rank first, by a heap."""
-        import heapq
-
-        parts: list[bytes | None] = [raw[k : k + 1] for k in range(len(raw))]
-        after, before = list(range(1, len(raw) + 1)), list(range(-1, len(raw) - 1))
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(k: int) -> None:
-            if 0 <= k and after[k] < len(raw):
-                joined = parts[k] + parts[after[k]]
-                rank = self.ranks.get(joined)
-                if rank is not None:
-                    heapq.heappush(heap, (rank, k, len(joined)))
-
-        for k in range(len(raw)):
-            offer(k)
-        while heap:
-            _, k, size = heapq.heappop(heap)
-            follows = after[k]
-            if parts[k] is None or follows >= len(raw) or len(parts[k]) + len(parts[follows]) != size:
-                continue  # one of them has changed since
-            parts[k] += parts[follows]
-            parts[follows] = None
-            after[k] = after[follows]
-            if after[k] < len(raw):
-                before[after[k]] = k
-            offer(k)
-            offer(before[k])
-        return np.array([self.ranks[x] for x in parts if x is not None], dtype="<u4").tobytes()
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian unsigned 32-bit."""
+        if any(len(t) > PART_CHARS for t in texts):
+            return [b"".join(x for part in self.parts(t) for x in self._encode([part])) for t in texts]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         split = self.split(texts)
         new = set().union(*split).difference(self.words)
         if new:
@@ -151,26 +176,29 @@ class Codec:
         return [b"".join(map(known, words)) for words in split]
 
     def decode(self, rows: list[bytes]) -> list[bytes]:
-        """The bytes of each row of ids."""
-        out, lo = [], 0
-        while lo < len(rows):
-            hi, size = lo + 1, len(rows[lo]) // 4
-            while hi < len(rows) and size + len(rows[hi]) // 4 <= DECODE_IDS:
-                size += len(rows[hi]) // 4
-                hi += 1
-            out += self._decode(rows[lo:hi])
-            lo = hi
-        return out
-
-    def _decode(self, rows: list[bytes]) -> list[bytes]:
-        sizes = np.array([len(r) // 4 for r in rows])
-        ids = np.frombuffer(b"".join(rows), dtype="<u4").astype(np.int32)
-        self.db.register("ids", pa.table({"doc": np.repeat(np.arange(len(rows), dtype=np.int32), sizes), "pos": np.arange(len(ids), dtype=np.int64), "id": ids}))
-        out = [b""] * len(rows)
+        """The bytes of each row of ids, by slices of DECODE_IDS ids."""
+        out: list[list[bytes]] = [[] for _ in rows]
+        docs, ids, size = [], [], 0
+        for doc, raw in enumerate(rows):
+            for a in range(0, len(raw), 4 * DECODE_IDS):
+                part = raw[a : a + 4 * DECODE_IDS]
+                if size + len(part) > 4 * DECODE_IDS:
+                    self._decode(docs, ids, out)
+                    docs, ids, size = [], [], 0
+                docs.append(doc)
+                ids.append(part)
+                size += len(part)
+        if docs:
+            self._decode(docs, ids, out)
+        return [b"".join(x) for x in out]
+
+    def _decode(self, docs: list[int], parts_: list[bytes], out: list[list[bytes]]) -> None:
+        sizes = np.array([len(r) // 4 for r in parts_])
+        ids = np.frombuffer(b"".join(parts_), dtype="<u4").astype(np.int32)
+        self.db.register("ids", pa.table({"doc": np.repeat(np.array(docs, dtype=np.int32), sizes), "pos": np.arange(len(ids), dtype=np.int64), "id": ids}))
         found = self.db.sql(DECODE).to_arrow_table()
         for doc, text in zip(found.column("doc").to_pylist(), found.column("bytes").to_pylist(), strict=True):
-            out[doc] = text.encode("latin-1")
-        return out
+            out[doc].append(text.encode("latin-1"))
 
 
 def codec(path: str, pattern: str) -> Codec:

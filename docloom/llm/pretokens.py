@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -11,6 +13,8 @@ from docloom.llm.common import worker_cache
 # Fixed value: the pattern of the public byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 OTHER, LETTER, NUMBER, SPACE = range(4)
+#: A place where a match of the pattern surely ends: white space after none. Characters that are split at once.
+EDGE, PART_CHARS = re.compile(r"(?<=[^\s])[ \n]"), 1 << 20
 # Code points of the White_Space property.
 WHITE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
@@ -51,6 +55,18 @@ def starts_of(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def parts(text: str, chars: int | None = None) -> Iterator[str]:
+    """Parts of a text, of `chars` characters and the rest of a word, whose matches together are the text's."""
+    a, chars = 0, chars or PART_CHARS
+    while len(text) - a > chars:
+        edge = EDGE.search(text, a + chars)
+        if edge is None:
+            break
+        yield text[a : edge.start()]
+        a = edge.start()
+    yield text[a:] if a else text
+
+
 def splitter(pattern: str):
     """A function from texts to their matches of the pattern."""
     import regex
