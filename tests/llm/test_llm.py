@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import audio, bpe, chat, common, jaccard, langid, packing, quality, secrets, substring, toxicity
-from docloom.llm.pretokens import PATTERN, splitter
+from docloom.llm.pretokens import PATTERN, parts, splitter
 
 tokenizers = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -149,7 +149,6 @@ def test_packing(spark):
 
     path = packing.tokenizer_path()
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     rows = [r for r in corpus() if r[0] != 7] + [(900, "it's <|endoftext|> 漢字 \n\n  x  '''ll")]
     out = packing.digest(packing.pack(docs(spark, rows), path)).collect()
     assert len({r.sequence_id for r in out}) == len(out) and {r.offset for r in out} == {0}
@@ -573,8 +572,66 @@ def test_adjacent_copies_score_alike():
     assert twice[0] == alone[0]  # within one text it counts once
 
 
-def test_added_tokens_in_texts_are_plain(spark):
+def test_packing_of_added_tokens_and_long_texts(spark, tmp_path):
+    from tokenizers import Tokenizer
+
     path = packing.tokenizer_path()
-    got = packing.pack(docs(spark, [(1, "a<|endoftext|>b")]), path).collect()
-    ids = [i for r in sorted(got, key=lambda r: r.start) for i in np.frombuffer(r.ids, "<u4").tolist()]
-    assert 50256 not in ids and len(ids) > 4
+    own = Tokenizer.from_file(path)
+    rows = [(1, "a <|endoftext|> b"), (2, " " * 1_000_000 + "x"), (3, "it's 12 \n\n  é漢 " * 100_000), (4, "ab" * 300_000), (5, "x")]
+    packed = packing.pack(docs(spark, rows), path)
+    got = {i: [] for i, _ in rows}
+    for r in packed.collect():
+        assert r.length == 1 << r.bucket and len(r.ids) == 4 * r.length
+        got[r.doc_id].append((r.start, r.ids))
+    for i, t in rows:
+        ids = np.frombuffer(b"".join(x for _, x in sorted(got[i])), "<u4").tolist()
+        assert ids == [*own.encode(t, add_special_tokens=False).ids, 1]
+    assert np.frombuffer(sorted(got[1])[0][1], "<u4").tolist() == [64, 220, 50256, 275]
+    packing.write_buckets(packed, str(tmp_path / "out"))
+    assert {p.name for p in (tmp_path / "out").glob("bucket=*")} == {f"bucket={r.bucket}" for r in packed.select("bucket").distinct().collect()}
+
+
+def test_matches_of_parts_are_those_of_the_text():
+    rng = random.Random(31)
+    split = splitter(PATTERN)
+    for _ in range(200):
+        text = "".join(rng.choice(" \n\tab1,.é' \u3000٣\x1c\x85") for _ in range(rng.randint(0, 60)))
+        cut = list(parts(text, rng.randint(1, 9)))
+        assert "".join(cut) == text and sum((split([x])[0] for x in cut), []) == split([text])[0]
+
+
+def contracted(raw, ranks):
+    """One contraction at a time: the leftmost pair of least rank."""
+    out = [raw[k : k + 1] for k in range(len(raw))]
+    while found := [(ranks[x + y], k) for k, (x, y) in enumerate(zip(out, out[1:], strict=False)) if x + y in ranks]:
+        k = min(found)[1]
+        out[k : k + 2] = [out[k] + out[k + 1]]
+    return [ranks[x] for x in out]
+
+
+def test_bpe_of_long_words(monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(bpe, "ROUNDS", 5)
+    for size in (4, 9, 20, 25):  # also vocabularies that no training makes
+        made = list(dict.fromkeys("".join(rng.choice("abc") for _ in range(rng.randint(2, 4))).encode() for _ in range(size)))
+        ranks = {bytes([b]): b for b in range(256)} | {t: 256 + k for k, t in enumerate(made)}
+        codec = bpe.Codec(ranks, PATTERN)
+        words = ["".join(rng.choice("aaabc") for _ in range(rng.randint(1, 120))) for _ in range(20)] + ["a" * n for n in (12, 13, 99)] + ["ab" * 50, "aab" * 30, "aabb" * 30 + "c"]
+        codec.learn(words)
+        assert [np.frombuffer(codec.words[w], "<u4").tolist() for w in words] == [contracted(w.encode(), ranks) for w in words]
+
+
+def test_bpe_of_long_texts():
+    import tiktoken
+
+    path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = bpe.load_ranks(path)
+    own, codec = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), bpe.Codec(ranks, PATTERN)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("thenaioé") for _ in range(30_000)), "the cat's 12 \n\n  é漢 " * 80_000, "ab" * 20_000]
+    for text, ids in zip(texts, codec.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == own.encode_ordinary(text)
+    spaces = np.frombuffer(codec.encode([" " * 1_000_000 + "x"])[0], "<u4")
+    assert codec.decode([spaces.tobytes()]) == [b" " * 1_000_000 + b"x"] and spaces[:-1].tolist() == own._core_bpe.encode_single_piece(b" " * 999_999)
+    many = np.random.default_rng(1).integers(0, 50_000, 5_000_000).astype("<u4")
+    assert codec.decode([many.tobytes(), b""]) == [own.decode_bytes(many.tolist()), b""]
