@@ -4,7 +4,7 @@ A conversation becomes one string. Each turn is `[INST]role[/INST]\\n`, its text
 `</s>\\n`; a control string inside a role or text gets a backslash after its first
 character (one more for each there is), so a marker in the output is always a real one
 and the text can be read back. Segment lengths give cumulative offsets; headers and
-contents are copied into one preallocated Arrow buffer by numpy.
+contents are copied into one preallocated Arrow buffer by numpy; escaping is one Arrow pass over a column.
 
 Rows of a conversation need not be adjacent: they are dealt out by conv_id and sorted by
 (turn, role, text), nulls first, which also fixes ties and repeated rows. A null role or
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,10 @@ def escape(text: str) -> str:
     return _ESCAPE.sub(r"\1\\\2\3", text)
 
 
+def escaped(column: pa.Array) -> pa.Array:
+    return pc.replace_substring_regex(column, pattern=_ESCAPE.pattern, replacement=r"\1\\\2\3")
+
+
 def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1\2\3", text)
 
@@ -62,10 +67,10 @@ def assemble(headers: pa.Array, contents: pa.Array, footer: bytes) -> tuple[pa.B
 def _formatted(table: pa.Table) -> Iterator[pa.RecordBatch]:
     """Output rows for a table of whole conversations, sorted."""
     conv = table.column("conv_id").combine_chunks()
-    roles, texts = (large(table.column(c)).to_pylist() for c in ("role", "text"))
-    headers = pa.array([f"[INST]{escape(r)}[/INST]\n" for r in roles], pa.large_string())
-    contents = pa.array([escape(t) for t in texts], pa.large_string())
-    buffer, starts, content = assemble(headers, contents, b"</s>\n")
+    roles, texts = (large(table.column(c)) for c in ("role", "text"))
+    said = lambda x: pa.scalar(x, pa.large_string())
+    headers = pc.binary_join_element_wise(said("[INST]"), escaped(roles), said("[/INST]\n"), said(""))
+    buffer, starts, content = assemble(headers, escaped(texts), b"</s>\n")
     ids = conv.fill_null(-(2**63)).to_numpy(zero_copy_only=False)
     valid = conv.is_valid().to_numpy(zero_copy_only=False)
     new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (valid[1:] != valid[:-1])])
@@ -73,11 +78,14 @@ def _formatted(table: pa.Table) -> Iterator[pa.RecordBatch]:
     ends = np.append(first[1:], len(ids))
     offsets = np.append(starts[first], starts[-1]).astype(np.int64)
     formatted = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets), buffer])
-    loss = [[[int(content[k] - starts[a]), int(starts[k + 1] - starts[a] - 5)] for k in range(a, b) if roles[k] == "assistant"] for a, b in zip(first, ends, strict=True)]
-    yield pa.RecordBatch.from_arrays(
-        [conv.take(pa.array(first)), formatted.cast(pa.string()), pa.array(loss, pa.list_(pa.list_(pa.int64())))],
-        names=["conv_id", "formatted", "loss_spans"],
-    )
+    mine = pc.equal(roles, "assistant").to_numpy(zero_copy_only=False)
+    conversation = np.cumsum(new) - 1
+    begin = starts[first][conversation]
+    spans = np.stack([content - begin, starts[1:] - 5 - begin], axis=1)[mine]
+    pairs = pa.ListArray.from_arrays(pa.array(np.arange(len(spans) + 1, dtype=np.int32) * 2), pa.array(spans.ravel()))
+    counts = np.bincount(conversation[mine], minlength=len(first))
+    loss = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pairs)
+    yield pa.RecordBatch.from_arrays([conv.take(pa.array(first)), formatted.cast(pa.string()), loss], names=["conv_id", "formatted", "loss_spans"])
 
 
 def _assemble_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
