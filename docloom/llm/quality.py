@@ -3,10 +3,13 @@ r"""Quality rules: a threshold table compiled into one Spark projection.
 Counts come from built-in functions only; a rule is a row (name, left, factor, comparison, right):
 it rejects a document when `factor * left` compares so with `right`, integers throughout,
 so no ratio is rounded. Repeated three-word windows are found by sorting one packed long
-for each window (38 bits of hash, 26 of place) and comparing neighbours as words.
+for each window (38 bits of hash, 26 of place) and comparing neighbours as words. Where two neighbours have one
+hash and differ, or places do not fit, the text's windows are sorted by their words instead, so that nothing hides
+between two equal ones.
 
 One pass, no shuffle. A null text has no words and fails the base; repeated rows are judged alike,
-a null doc_id stays null, other columns are ignored.
+a null doc_id stays null, other columns are ignored, an empty table gives no rows. One text is one value,
+however long.
 """
 
 from __future__ import annotations
@@ -41,25 +44,42 @@ def without(text: Column, chars: str) -> Column:
     return F.length(F.translate(text, chars, ""))
 
 
+PLACE_BITS = 26
+
+
+def hash_of(*words: Column) -> Column:
+    return F.xxhash64(*words)
+
+
+def _windows(words: Column, of) -> Column:
+    """of(word, place) at each three-word window, sorted."""
+    return F.when(F.size(words) > 2, F.sort_array(F.slice(F.transform(words, of), 1, F.greatest(F.size(words) - 2, F.lit(1)))))
+
+
 def _packed(words: Column) -> Column:
     """One sorted long for each three-word window."""
-    code = lambda w, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)), 26), 26).bitwiseOR(i.cast("long"))
-    windows = F.when(F.size(words) > 2, F.slice(F.transform(words, code), 1, F.greatest(F.size(words) - 2, F.lit(0))))
-    return F.sort_array(F.coalesce(windows, F.array().cast("array<bigint>")))
+    code = lambda w, i: F.shiftleft(F.shiftrightunsigned(hash_of(w, F.get(words, i + 1), F.get(words, i + 2)), PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long"))
+    return F.coalesce(_windows(words, code), F.array().cast("array<bigint>"))
 
 
 def _repeated(words: Column, packed: Column) -> Column:
     """Sorted places of the windows that are found twice or more."""
-    place = lambda x: x.bitwiseAND(F.lit((1 << 26) - 1)).cast("int")
+    place = lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
     word = lambda i, k: F.get(words, i + k)
+    exact = lambda x, y: (word(place(x), 0) == word(place(y), 0)) & (word(place(x), 1) == word(place(y), 1)) & (word(place(x), 2) == word(place(y), 2))
+    hashes = lambda x, y: F.shiftright(x, PLACE_BITS) == F.shiftright(y, PLACE_BITS)
 
     def same(x: Column, y: Column) -> Column:
-        hashes = F.shiftright(x, 26) == F.shiftright(y, 26)
-        exact = (word(place(x), 0) == word(place(y), 0)) & (word(place(x), 1) == word(place(y), 1)) & (word(place(x), 2) == word(place(y), 2))
-        return F.when(hashes, exact).otherwise(F.lit(False))
+        return F.when(hashes(x, y), exact(x, y)).otherwise(F.lit(False))
+
+    def marked(items: Column, alike) -> Column:
+        return F.filter(items, lambda x, i: F.coalesce(F.when(i > 0, alike(x, F.get(items, i - 1))), F.lit(False)) | F.coalesce(alike(x, F.get(items, i + 1)), F.lit(False)))
 
-    marked = F.filter(packed, lambda x, i: F.coalesce(F.when(i > 0, same(x, F.get(packed, i - 1))), F.lit(False)) | F.coalesce(same(x, F.get(packed, i + 1)), F.lit(False)))
-    return F.sort_array(F.transform(marked, place))
+    clash = F.exists(F.filter(packed, lambda x, i: F.when(hashes(x, F.get(packed, i + 1)), ~exact(x, F.get(packed, i + 1))).otherwise(F.lit(False))), lambda x: F.lit(True))
+    whole = lambda w, i: F.struct(F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)).alias("t"), i.alias("i"))
+    by_words = F.transform(F.array(_windows(words, whole)), lambda items: F.transform(marked(items, lambda x, y: x["t"] == y["t"]), lambda x: x["i"]))[0]
+    fits = F.size(words) < (1 << PLACE_BITS)
+    return F.sort_array(F.when(fits & ~clash, F.transform(marked(packed, same), place)).otherwise(by_words))
 
 
 def _covered(places: Column) -> Column:
