@@ -7,11 +7,12 @@ labelled texts; a Nyström approximation with one-versus-rest kernel ridge regre
 solved on the driver, and texts are scored in blocks: presence matrix times landmark
 matrix, times coefficients.
 
-Training rows are a bounded sample: for each language one document in each of SLOTS hash
-slots of doc_id, reduced to presence bits before they reach the driver. Scoring covers
-every whole text in one pass. A text that is null or has no letter is `und` with score 0;
+Training rows are a bounded sample, SAMPLE rows at most: for each of the LANGS languages of most documents one document in each of SLOTS hash
+slots of doc_id (fewer slots where there are many languages), reduced to presence bits before they reach the driver. Scoring covers
+every whole text in one pass; of languages with one score the first by name is said. A text that is null or has no letter is `und` with score 0;
 so is every text when no label could be learned. Repeated rows score alike, a null doc_id is
-never trained on, other columns are ignored.
+never trained on, other columns are ignored, an empty table gives no rows. A long text is one row of presence bits,
+gathered by parts.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ from docloom.llm.common import mix, table, text_slices
 
 #: Longest n-gram, presence bits, training documents and landmarks for each language, ridge, rows in a block.
 ORDER, DIMENSION, SLOTS, LANDMARKS, RIDGE, BLOCK = 3, 1 << 15, 256, 24, 1e-2, 64
+#: Most languages, and most training rows of all.
+LANGS, SAMPLE = 64, 2048
+#: Bytes of one text that are looked at together.
+PART = 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -39,6 +44,11 @@ def presence(data: np.ndarray, offsets: np.ndarray, order: int = ORDER, dimensio
     out = np.zeros((n, dimension), dtype=np.float32)
     if not len(data):
         return out
+    if n == 1 and len(data) > PART:  # an n-gram lies in one of two parts that overlap
+        for a in range(0, len(data), PART):
+            part = data[max(0, a - order + 1) : a + PART]
+            out = np.maximum(out, presence(part, np.array([0, len(part)]), order, dimension))
+        return out
     flat = out.reshape(-1)
     lower = np.arange(256, dtype=np.uint64)
     lower[65:91] += np.uint64(32)
@@ -94,20 +104,24 @@ def train(documents: DataFrame) -> Model | None:
     """Learn from text and non-null lang of documents that are not held out."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id")))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
-    ids = rows.select("doc_id", "lang").groupBy("lang", slot.alias("slot")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").collect()  # SLOTS for each language
-    wanted = pa.array(sorted({r[0] for r in ids}), pa.int64())
+    langs = [r.lang for r in rows.groupBy("lang").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "lang").limit(LANGS).collect()]
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(min(SLOTS, SAMPLE // max(1, len(langs)))))
+    slots = rows.where(F.col("lang").isin(langs)).groupBy("lang", slot.alias("slot")).agg(F.min("doc_id").alias("doc_id"))
+    chosen = {(r.doc_id, r.lang) for r in slots.collect()}  # SAMPLE at most
+    wanted = pa.array(sorted({i for i, _ in chosen}), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
         for batch in batches:
             batch = batch.filter(pc.is_in(batch.column(0), wanted))
+            batch = batch.filter(pa.array([x in chosen for x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)], pa.bool_()))
             for lo, hi, data, offsets in blocks(batch.column(1)):
                 bits = np.packbits(presence(data, offsets).astype(bool), axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([b.tobytes() for b in bits], pa.binary())], names=["doc_id", "lang", "bits"])
 
-    found = sorted(rows.mapInArrow(run, "doc_id long, lang string, bits binary").collect(), key=lambda r: (r[0], r[1]))
+    found = rows.mapInArrow(run, "doc_id long, lang string, bits binary").groupBy("doc_id", "lang").agg(F.min("bits"))  # of repeated rows one
+    found = sorted(found.collect(), key=lambda r: (r[0], r[1]))
     bits = np.array([np.unpackbits(np.frombuffer(r[2], np.uint8)) for r in found], dtype=np.float32).reshape(len(found), DIMENSION)
     return fit([r[1] for r in found], bits)
 

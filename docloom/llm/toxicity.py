@@ -275,7 +275,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model | None:
         for batch in batches:
             yield batch.filter(pc.is_in(batch.column(0), wanted))
 
-    found = rows.mapInArrow(run, "doc_id long, text string").collect()
+    found = rows.mapInArrow(run, "doc_id long, text string").groupBy("doc_id").agg(F.min("text").alias("text")).collect()  # of repeated rows one
     return fit(sorted({(r["text"], chosen[r["doc_id"]]) for r in found}))
 
 
