@@ -268,16 +268,17 @@ def to_buckets(df: DataFrame) -> DataFrame:
     return df.repartition(shuffle_partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket")
 
 
-def bucket_groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[bytes]]:
-    """Blobs of whole buckets, of several small ones together until they have `least` bytes."""
+def bucket_groups(batches: Iterator[pa.RecordBatch], least: int, numbered: bool = False) -> Iterator[list]:
+    """Blobs of whole buckets, of several small ones together until they have `least` bytes; with their buckets if `numbered`."""
     unzip, held, size, last = zstandard.ZstdDecompressor(), [], 0, None
     for batch in batches:
         for bucket, blob in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
             if size >= least and bucket != last:
                 yield held
                 held, size = [], 0
-            held.append(unzip.decompress(blob.as_py()))
-            size += len(held[-1])
+            raw = unzip.decompress(blob.as_py())
+            held.append((int(bucket), raw) if numbered else raw)
+            size += len(raw)
             last = bucket
     if held:
         yield held

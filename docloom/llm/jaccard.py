@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import Buckets, bucket_groups, drop, hot_keys, in_one_row, join_spread, materialise, shuffle_partitions, table, text_slices, to_buckets, window_hashes, word_hashes, words_of
@@ -154,21 +154,25 @@ def open_cells(raw: bytes) -> np.ndarray:
     return out
 
 
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def document_classes(documents: DataFrame, levels: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """doc_id, n (size of the set), cls (key of the set), grp (key of prefix and size), cells."""
+    """doc_id, text_hash, n (size of the set), cls (key of the set), grp (key of prefix and size), cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, cls, grp, cells = [], [], [], []
-            for _, tokens in shingle_sets(batch.column(1), shingle):
+            for _, tokens in shingle_sets(batch.column(2), shingle):
                 n.append(len(tokens))
                 cells.append(cells_of(tokens) if len(tokens) else None)
                 cls.append(class_key(tokens) if len(tokens) else None)
                 grp.append(group_key(group_digest(prefix_of(tokens, levels, percent), len(tokens)), len(tokens)) if len(tokens) else None)
             arrays = [pa.array(x, kind) for x, kind in ((n, pa.int64()), (cls, pa.binary()), (grp, pa.int64()), (cells, pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n", "cls", "grp", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "text_hash", "n", "cls", "grp", "cells"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, cls binary, grp long, cells binary")
+    return documents.select(F.col("doc_id").cast("long"), text_hash("text"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text_hash long, n long, cls binary, grp long, cells binary")
 
 
 def _pack(tokens: np.ndarray, groups: np.ndarray) -> bytes:
@@ -477,6 +481,11 @@ def other_pairs(live: DataFrame, hot: DataFrame | None, classes: DataFrame, labe
 
 def link(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
+    return linked(documents, shingle, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def linked(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The same with text_hash and `label`, a key of the component (null: an empty set)."""
     levels = sketch(documents, shingle)
     rows = materialise(document_classes(documents, levels, shingle, percent), "rows")
     classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("cells").alias("cells"))
@@ -507,10 +516,10 @@ def link(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
     named = labelled(classes.select("cls", "doc_id"), labels)
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     hot = hot_keys(labels.select(F.col("v").alias("label")), "label") if labels is not None else None
-    named = join_spread(named, least, "label", "cls", hot).select("cls", "component_id")
-    full = rows.where("cls IS NOT NULL").select("doc_id", "n", "cls")
-    out = join_spread(full, named, "cls", "doc_id", hot_keys(full, "cls")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where("cls IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    named = join_spread(named, least, "label", "cls", hot).select("cls", "component_id", "label")
+    full = rows.where("cls IS NOT NULL").select("doc_id", "text_hash", "n", "cls")
+    out = join_spread(full, named, "cls", "doc_id", hot_keys(full, "cls")).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash", "label")
+    alone = rows.where("cls IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash", F.lit(None).cast("binary").alias("label"))
     return out.union(alone)
 
 

@@ -127,6 +127,32 @@ def test_ledger_is_incremental(spark):
     assert secrets.scan(secrets.versions_of(docs(spark, []))).count() == 0
 
 
+def test_ledger_is_kept(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    first = secrets.versions_of(docs(spark, SECRETS[:4]))
+    assert secrets.ledger_at(spark, path) is None
+    n = secrets.update(first, path).count()
+    assert n == 4 * len(secrets.RULES) and secrets.update(first, path).count() == n  # nothing new, nothing scanned
+    later = secrets.update(secrets.versions_of(docs(spark, SECRETS)), path)
+    assert later.count() == len(secrets.RULES) * len({t or "" for _, t in SECRETS}) == later.select("blob", "rule").distinct().count()
+
+
+def test_many_spans_and_hot_blobs(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "CHUNK", 4)
+    monkeypatch.setattr(secrets, "hot_keys", lambda rows, key: common.hot_keys(rows, key, 2))
+    rng = random.Random(3)
+    text = "".join(rng.choice(["é ", "0123456789abcdef" * rng.randint(1, 2) + " ", "token=abcdefghijkl "]) for _ in range(60))
+    rows = [(k, text) for k in range(9)] + [(20, "x"), (None, text)]
+    versions = secrets.versions_of(docs(spark, rows))
+    out = secrets.digest(secrets.findings(versions, secrets.scan(versions))).collect()
+    want = brute_spans(text)
+    for r in out:
+        said = ",".join(f"{k}:{a}:{b}" for a, _, b, k in want) if r.doc_id != 20 else ""
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(0).alias("rank"), F.lit(b).alias("end"), F.lit("k").alias("kind")) for a, b in ((0, 9), (2, 4), (9, 10), (12, 15), (13, 20), (20, 21))])
+    assert len(out) == 11 and spark.range(1).select(secrets.redact(F.lit("é" * 12 + "abcdefghijklmno"), spans)).first()[0] == "[SECRET][SECRET]éé[SECRET][SECRET]jklmno"
+
+
 def test_redaction(spark):
     versions = secrets.versions_of(docs(spark, SECRETS))
     found = versions.join(secrets.blob_spans(secrets.scan(versions)), "blob", "left")
@@ -176,6 +202,10 @@ def test_language_identification(spark):
     held = [(i, lang) for i, lang, _ in rows if i is not None and i < 1000 and zlib.crc32(str(i).encode()) % 4 == 2]
     assert len(held) > 40 and sum(got[i].lang_pred == lang for i, lang in held) >= 0.95 * len(held)
     assert [got[i].lang_pred for i in (1000, 1002, 1003)] == ["und"] * 3 and got[1004].lang_pred != "und" and all(0 <= r.score <= 1 for r in out)
+    many = df.withColumn("lang", F.concat("lang", (F.col("doc_id") % 50).cast("string"))).unionByName(df.where("doc_id = 1").crossJoin(spark.range(50)).drop("id"))
+    assert len(langid.train(many).langs) == langid.LANGS  # more languages than are learned, and repeated rows
+    long = spark.createDataFrame([(1, "le la été élève " * 90_000, None, "s")], "doc_id long, text string, lang string, source string")
+    assert langid.predict(long, langid.train(df)).first().lang_pred == "fr"
     empty = spark.createDataFrame([], df.schema)
     assert langid.train(empty) is None and langid.predict(df, None).where("lang_pred <> 'und'").count() == 0 and langid.predict(empty, None).count() == 0
 
@@ -199,6 +229,17 @@ def test_quality(spark):
     assert out[5].n_repeat_words == 3000 and out[502].kept and quality.measure(docs(spark, [])).count() == 0
 
 
+def test_quality_with_clashing_hashes(spark, monkeypatch):
+    rng = random.Random(23)
+    rows = [(k, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 60)))) for k in range(12)]
+    plain = {r.doc_id: r for r in quality.measure(docs(spark, rows)).collect()}
+    monkeypatch.setattr(quality, "hash_of", lambda *w: F.length(w[0]).cast("long"))
+    for r in quality.measure(docs(spark, rows)).collect():
+        words = dict(rows)[r.doc_id].split()
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        assert r == plain[r.doc_id] and r.n_repeat_words == len({k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)})
+
+
 # ---- 7: toxicity
 
 
@@ -544,7 +585,45 @@ def test_unrelated_recordings_do_not_align(spark):
     x, y = (np.random.default_rng(k).integers(0, 2**32, 60, dtype=np.uint32) for k in (1, 2))
     y[20:40] = x[20:40]
     y[30] ^= 7
-    assert audio.segment([x] * 4, [y] * 4, 0) == (3, 20)
+    assert audio.segment(x, y, 0) == (3, 20)
+
+
+def test_alignments_by_brute_force(spark):
+    """Against every pair at every shift where two phases meet: those of later holders are reached through the earliest."""
+    rng = random.Random(15)
+    texts = [pcm(rng, rng.randint(3000, 4000)) for _ in range(6)]
+    rows = list(enumerate(texts)) + [(10 + k, pcm(rng, rng.randint(1, 400)) + t[rng.randint(0, 300) :]) for k, t in enumerate(texts)] + [(20, texts[0][:2900] + texts[1][:2900])]
+    got = {(r.id, r.aligned_id) for r in alignments(spark, rows)}
+    prints = {i: [audio.integers_of(*audio.frames_of((np.frombuffer(t, np.uint8).astype(np.float32) - 128) / 128, np.array([0, len(t)]), p))[0] for p in audio.PHASES] for i, t in rows}
+    meeting = [k for k in range(audio.HOP) if any((k - p + q) % audio.HOP == 0 for p in audio.PHASES for q in audio.PHASES)]
+    want = set()
+    for x, _ in rows:
+        for y, other in rows:
+            for shift in (h * audio.HOP + k for h in range(-60, 60) for k in meeting) if y < x else ():
+                i, j, at = audio.phases_of(shift)
+                wrong, n = audio.segment(prints[x][i], prints[y][j], at)
+                if n >= audio.LONG_PLACES and wrong <= audio.MOST_ERRORS * 32 * n:
+                    want.add((x, y))
+                    break
+    assert {(10 + k, k) for k in range(6)} | {(20, 0), (20, 1)} <= want & got and got <= want
+    through = {(x, z) for x, y in got for z, first in got if y == first}
+    assert len(want & (got | through)) >= 0.9 * len(want)
+
+
+def test_unreadable_wav_files(spark):
+    good = wav(tone([440, 330, 523, 262, 392, 659] * 2))
+    cut = spark.createDataFrame([(1, good), (2, b"junk"), (3, good[:30]), (4, b"RIFF"), (5, good)], "id long, audio binary")
+    prints = audio.fingerprint(cut).persist()
+    assert {r.id: r.n_frames > 0 for r in prints.collect()} == {1: True, 2: False, 3: False, 4: False, 5: True}
+    assert [(r.id, r.aligned_id) for r in audio.align(prints).collect()] == [(5, 1)]
+    for width in (3, 4):
+        data = io.BytesIO()
+        with wave.open(data, "wb") as f:
+            f.setnchannels(1)
+            f.setsampwidth(width)
+            f.setframerate(8000)
+            f.writeframes((np.array([0.5, -0.25]) * 2 ** (8 * width - 1)).astype("<i4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes())
+        assert np.allclose(audio.decode_wav(data.getvalue()), [0.5, -0.25], atol=1e-4)
 
 
 def test_wav_resampling():
