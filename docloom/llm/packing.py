@@ -6,7 +6,7 @@ a sequence of its own, its length is its bucket (`bucket`, the power of two), so
 none needs padding. Pieces of one bucket lie together in each batch of output, and `write_buckets`
 gives each bucket a folder of its own, from which a batch of equal lengths is read. One pass, no shuffle: `sequence_id` is unique, not dense.
 
-Ids are those of the tokenizer's own library. For a byte-level tokenizer with the public pattern it is
+Ids are those of the tokenizer's own library. For a byte-level tokenizer with the public pattern its model is
 asked once for each distinct word and worker, as it encodes the pattern's matches apart; a text that holds
 an added token (`<|endoftext|>`, which gives that token's id) or another tokenizer's text goes to it whole.
 
@@ -17,6 +17,7 @@ parts; one row's ids are held whole.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,13 @@ def pieces(n: int, size: int = SIZE) -> tuple[list[int], list[int]]:
     return [0, *np.cumsum(lengths)[:-1].tolist()][: len(lengths)], lengths
 
 
+def byte_characters() -> dict[int, str]:
+    """The printable stand-ins of byte-level vocabularies: bytes that print stand for themselves."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class Encoder:
     """Texts to ids, little-endian unsigned 32-bit, by the tokenizer file's own library."""
 
@@ -58,7 +66,7 @@ class Encoder:
         plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.by_words = plain and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.split = splitter(PATTERN)
+        self.split, self.model, self.stand_ins = splitter(PATTERN), self.own.model, byte_characters()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.own.encode_batch(texts, add_special_tokens=False)]
@@ -69,7 +77,9 @@ class Encoder:
         if len(self.words) + len(new) > CACHE_WORDS:
             self.words.clear()
             new = list(set().union(*split))
-        self.words.update(zip(new, self.whole(new), strict=True))
+        for word in new:
+            tokens = self.model.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.stand_ins))
+            self.words[word] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
         known = self.words.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
