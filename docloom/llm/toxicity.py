@@ -7,21 +7,23 @@ length can have: insults with gaps or inserted characters stay near the plain on
 classes; the linear machine on their Nyström features is folded into one weight for each
 hashed subsequence, which is the same function and scores a text in one pass.
 
-Training is on labelled sentences: sentences inherit their document's label; units that are
-over-represented in toxic sentences, counted by different surroundings, are positives (also
-shown with foreign characters put in), units of clean sentences negatives. A logistic model on a document's hits then gives its score. The
+Training is on labelled sentences, which inherit their document's label (a sentence that clean documents have is
+clean). A first machine is fitted to them, each unit standing for the sentences of both labels that hold it, by number. Units that it
+puts above all but one in CALM of the clean sentences' units, in enough toxic sentences, are what a second machine
+is fitted to, beside forms of them with foreign characters put in, against units of clean sentences. A logistic model on a document's hits then gives its score. The
 sample is bounded: for each label one document of at most SAMPLE_CHARS characters in each of SLOTS
-hash slots of doc_id. Without labels of both classes every score is 0.
+hash slots of doc_id, and SENTENCES sentences of each label for the first machine. Without labels of both classes every score is 0.
 
 Scoring covers every whole text. A null or empty text has the score of a text without
-hits; repeated rows score alike, a null doc_id is never trained on, other columns are ignored.
+hits; repeated rows score alike, a null doc_id is never trained on, other columns are ignored, an empty table gives no
+rows. Ties among units are broken by spelling. A long text is one row of a worker, whose memory grows with its characters.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +37,8 @@ from docloom.llm.common import mix, table, text_slices, words_of
 SPAN, DECAY, DIMENSION = 5, 0.6, 1 << 18
 #: Training documents for each label, their greatest length, landmarks for each class, negatives in training.
 SLOTS, SAMPLE_CHARS, LANDMARKS, NEGATIVES = 1500, 20_000, 160, 6000
-#: A positive unit: different surroundings in toxic sentences, at least and for each toxic document, and odds against clean ones; most of them.
-LEAST_CONTEXTS, LEAST_SHARE, LEAST_ODDS, POSITIVES = 5, 0.01, 5.0, 400
+#: Sentences of each label for the first machine, and its rounds; a unit it finds has LEAST_SENTENCES toxic ones at least; most of them.
+SENTENCES, ROUNDS, LEAST_SENTENCES, CALM, POSITIVES = 10_000, 2, 4, 3000, 400
 #: The decision of a unit that shares nothing with any landmark.
 BIAS = -0.5
 #: A unit is normalised as if it had this many characters at least, so that fragments weigh less.
@@ -167,20 +169,49 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.evidence(data, offsets) @ self.logistic, -30, 30)))
 
 
-def machine(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 30) -> np.ndarray:
-    """Linear support vector machine with squared hinge and the fixed BIAS, by Newton steps; classes weigh alike."""
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+def machine(x: np.ndarray, plus: np.ndarray, minus: np.ndarray, ridge: float = 1e-4, rounds: int = 30) -> np.ndarray:
+    """Linear support vector machine with squared hinge and the fixed BIAS, by Newton steps; row k counts plus[k] times as
+    toxic and minus[k] times as clean, and the classes weigh alike."""
+    plus, minus = plus / max(1e-9, plus.sum()), minus / max(1e-9, minus.sum())
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        active = y * (x @ w + BIAS) < 1
-        a = x[active] * share[active][:, None]
-        new = np.linalg.solve(a.T @ x[active] + ridge * np.eye(len(w)), a.T @ (y[active] - BIAS))
+        decision = x @ w + BIAS
+        up, down = plus * (decision < 1), minus * (decision > -1)
+        active = np.flatnonzero(up + down)
+        left, right = ridge * np.eye(len(w)), np.zeros(len(w))
+        for k in range(0, len(active), 2048):
+            at = active[k : k + 2048]
+            left += (x[at] * (up + down)[at][:, None]).T @ x[at].astype(float)
+            right += x[at].T @ (up * (1 - BIAS) + down * (-1 - BIAS))[at]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
     return w
 
 
+class Nystroem:
+    """Features of units by a kernel with landmarks, in the landmarks' own directions."""
+
+    def __init__(self, landmarks: list[str]) -> None:
+        self.columns = used_by(landmarks)
+        phi = features(landmarks, self.columns)
+        values, vectors = np.linalg.eigh(phi @ phi.T)
+        keep = values > 1e-5
+        self.ways = (phi.T @ (vectors[:, keep] / np.sqrt(values[keep]))).astype(np.float32)
+
+    def __call__(self, units: list[str]) -> np.ndarray:
+        blocks = [features(units[k : k + 500], self.columns).astype(np.float32) @ self.ways for k in range(0, len(units), 500)]
+        return np.concatenate([*blocks, np.zeros((0, self.ways.shape[1]), np.float32)])
+
+    def folded(self, w: np.ndarray) -> np.ndarray:
+        """The weight of each hashed subsequence."""
+        out = np.zeros(DIMENSION)
+        used = self.columns >= 0
+        out[used] = (self.ways @ w)[self.columns[used]]
+        return out
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 40) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
@@ -206,23 +237,59 @@ def unit_strings(texts: list[str]) -> list[list[str]]:
     return out
 
 
+def _by_hash(items) -> list[str]:
+    return sorted(items, key=lambda t: (zlib.crc32(t.encode()), t))
+
+
+def _often(counts: Counter) -> list[str]:
+    return sorted(counts, key=lambda u: (-counts[u], u))
+
+
+def held_by(sentences: list[str]) -> Counter:
+    """In how many of the sentences each unit occurs."""
+    return Counter(u for units in unit_strings(sentences) for u in set(units) if len(u) > 2)
+
+
+def found_by_sentences(toxic: Counter, clean: Counter) -> list[str]:
+    """Units that a machine fitted to labelled sentences puts above nearly all units of clean ones, the highest first.
+
+    Its landmarks are taken anew in each round, from the units that the round before puts highest, weighed by how
+    many toxic sentences have them, so that they come to stand where the classes part.
+    """
+    units = sorted(u for u in {*toxic, *clean} if toxic[u] + clean[u] > 1)
+    if not units:
+        return []
+    plus, minus = (np.array([c[u] for u in units], dtype=float) for c in (toxic, clean))
+    if not plus.any() or not minus.any():
+        return []
+    rates = plus / plus.sum(), minus / minus.sum()
+    worth = rates[0] - rates[1]
+    for _ in range(ROUNDS):
+        high, low = (sorted(range(len(units)), key=lambda k, side=side: (-side * worth[k], units[k]))[: 2 * LANDMARKS] for side in (1, -1))
+        space = Nystroem(list(dict.fromkeys([units[k] for k in (*high, *low)] + _by_hash(units)[:LANDMARKS])))
+        x = space(units)
+        decision = x @ machine(x, plus, minus) + BIAS
+        worth = np.where(decision > 0, rates[0] * decision, rates[1] * decision)
+    order = np.argsort(decision, kind="stable")
+    above = np.cumsum(minus[order][::-1])[::-1] * CALM > minus.sum()  # clean sentences' units from here upwards are more than one in CALM
+    calm = max(0.0, decision[order][above].max(initial=0.0))
+    return [units[k] for k in order[::-1] if decision[k] > calm and plus[k] >= LEAST_SENTENCES][:POSITIVES]
+
+
 def fit(rows: list[tuple[str, int]]) -> Model | None:
     """rows: (text, label) of the bounded sample."""
     toxic, clean = set(), set()
     for text, label in rows:
         (toxic if label else clean).update(s for s in re.split(r"[.!?\n]+\s", text) if s)
     toxic -= clean
-    if not toxic or not clean:
+    bad, good = held_by(_by_hash(toxic)[:SENTENCES]), held_by(_by_hash(clean)[:SENTENCES])
+    if not bad or not good:
         return None
-    bad, good = contexts(toxic), contexts(clean)
-    share = sum(bad.values()) / max(1, sum(good.values()))
-    least = max(LEAST_CONTEXTS, LEAST_SHARE * sum(label for _, label in rows))
-    positive = sorted((u for u, n in bad.items() if n >= least and n >= LEAST_ODDS * share * (good[u] + 1) and len(u) > 2), key=lambda u: (-bad[u], u))[:POSITIVES]
+    positive = found_by_sentences(bad, good)
     chosen = set(positive)
-    others = [u for u in good if u not in chosen and len(u) > 2]
-    mixed = sorted(others, key=lambda u: (zlib.crc32(u.encode()), u))
-    frequent = sorted(others, key=lambda u: (-good[u], u))[: NEGATIVES // 3]
-    negative = list(dict.fromkeys([*frequent, *mixed]))[:NEGATIVES]
+    others = Counter({u: n for u, n in held_by(sorted(clean)).items() if u not in chosen})
+    mixed = _by_hash(others)
+    negative = list(dict.fromkeys([*_often(others)[: NEGATIVES // 3], *mixed]))[:NEGATIVES]
     if not positive or not negative:
         return None
     shown = [*positive, *(v for u in positive[:LANDMARKS] for v in spoilt(u))]
@@ -230,34 +297,14 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     columns = used_by(positive)
     like = np.concatenate([features(negative[k : k + 500], columns).sum(axis=1) for k in range(0, len(negative), 500)])
     near = [negative[k] for k in np.argsort(-like, kind="stable")[: 2 * LANDMARKS]]
-    landmarks = list(dict.fromkeys([*positive[:LANDMARKS], *near, *mixed[:LANDMARKS]]))
-    columns = used_by(landmarks)
-    phi = features(landmarks, columns)
-    values, vectors = np.linalg.eigh(phi @ phi.T)
-    keep = values > 1e-5
-    root = vectors[:, keep] / np.sqrt(values[keep])
-    everything = [*shown, *negative]
-    z = np.concatenate([features(everything[k : k + 500], columns) @ phi.T @ root for k in range(0, len(everything), 500)])
-    w = machine(z, np.concatenate([np.ones(len(shown)), -np.ones(len(negative))]))
-    weights = np.zeros(DIMENSION)
-    weights[columns >= 0] = (phi.T @ (root @ w))[columns[columns >= 0]]
-    model = Model(weights, BIAS, None)
+    space = Nystroem(list(dict.fromkeys([*positive[:LANDMARKS], *near, *mixed[:LANDMARKS]])))
+    label = np.arange(len(shown) + len(negative)) < len(shown)
+    model = Model(space.folded(machine(space([*shown, *negative]), label.astype(float), (~label).astype(float))), BIAS, None)
     x = np.concatenate([model.evidence(*rows_of([t for t, _ in rows[k : k + 200]])) for k in range(0, len(rows), 200)])
     model.logistic = logistic(x, np.array([label for _, label in rows], dtype=float))
     return model
 
 
-def contexts(sentences: set[str]) -> Counter:
-    """In how many different surroundings each unit occurs; copies of a sentence add none."""
-    left, right = defaultdict(set), defaultdict(set)
-    for words in unit_strings(sorted(sentences)):
-        units = ["", *words, ""]
-        for before, unit, after in zip(units, units[1:], units[2:], strict=False):
-            left[unit].add(before)
-            right[unit].add(after)
-    return Counter({u: min(len(left[u]), len(right[u])) for u in left if u})
-
-
 def train(documents: DataFrame, labels: DataFrame) -> Model | None:
     """Learn from labelled rows that are not held out; rows of one text and label count once."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).cast("int").alias("label"))
