@@ -39,6 +39,12 @@ def error_text_column(errors: Column) -> Column:
     return F.array_join(F.transform(errors, lambda e: F.concat(F.lit("'"), e["path"], F.lit("' "), e["info"], F.lit("; "))), "")
 
 
+def fenced(value: Column) -> Column:
+    """The value, behind a fence that predicates are not pushed through: else they are expanded to all that they are made of,
+    once for each part, and the document is parsed as often. Filters on other columns belong before a validation."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 class Validator:
     def __init__(self, spec: Any, flags: Flags = Flags(), ignored: set[str] | None = None) -> None:
         self.spec = parse_json(spec) if isinstance(spec, (str, bytes)) else spec
@@ -113,7 +119,7 @@ class Validator:
         if not interpret:
             try:
                 frame, out, found, ok = self.lower(df, column)
-                done = frame.withColumns({"__docloom_doc": out.variant(), "__docloom_errors": found, "__docloom_valid": ok})
+                done = frame.withColumns({"__docloom_doc": out.variant(), "__docloom_errors": fenced(found), "__docloom_valid": fenced(ok)})
                 kept = [F.col(f"`{c}`") for c in df.columns if c not in (doc, errors, valid)]
                 return done.select(*kept, F.col("__docloom_doc").alias(doc), F.col("__docloom_errors").alias(errors), F.col("__docloom_valid").alias(valid))
             except NotLowerable:
@@ -124,7 +130,7 @@ class Validator:
         """Only the valid rows, as they are: the errors' texts are never made."""
         try:
             frame, _, _, ok = self.lower(df, column)
-            return frame.where(ok).select(*[f"`{c}`" for c in df.columns])
+            return frame.withColumn("__docloom_valid", fenced(ok)).where("__docloom_valid").select(*[f"`{c}`" for c in df.columns])
         except NotLowerable:
             return self.apply(df, column, "__doc", "__errors", "__valid").where("__valid").select(*[f"`{c}`" for c in df.columns])
 
