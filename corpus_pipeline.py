@@ -50,6 +50,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of secrets are replaced; each blob is scanned once. No row goes, a null text stays null."""
+    docs = _columns(docs)
     versions = secrets.versions_of(docs)
     by_blob = secrets.blob_spans(secrets.scan(versions))
     blob = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
