@@ -107,10 +107,11 @@ def sketch(documents: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     n = shuffle_partitions(documents.sparkSession)
     parts = parts.repartition(n, "block", F.pmod(F.spark_partition_id(), F.lit(max(1, n // SKETCH_BLOCKS)))).mapInArrow(add, kind)
     parts = parts.repartition(min(n, SKETCH_BLOCKS), "block").mapInArrow(add, kind)
-    total, unzip = np.zeros(cells, dtype=np.int64), zstandard.ZstdDecompressor()
+    levels, unzip = np.zeros(cells, dtype=np.uint8), zstandard.ZstdDecompressor()
     for block, blob in parts.collect():  # SKETCH_BLOCKS rows, of 2 MB together at most a block
-        total[block * size : (block + 1) * size] = np.frombuffer(unzip.decompress(bytes(blob)), dtype=np.int64)
-    return np.minimum(31, np.ceil(np.log2(total + 1))).astype(np.uint8)
+        counts = np.frombuffer(unzip.decompress(bytes(blob)), dtype=np.int64)
+        levels[block * size : (block + 1) * size] = np.minimum(31, np.ceil(np.log2(counts + 1)))
+    return levels
 
 
 def prefix_of(tokens: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> np.ndarray:

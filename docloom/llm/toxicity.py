@@ -118,13 +118,14 @@ def _joined(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def features(units: list[str], columns: np.ndarray) -> np.ndarray:
     """Normalised kernel features of units, on the columns asked for."""
     codes, owner = _joined(units)
-    out = np.zeros((len(units), int(columns.max()) + 1))
+    out = np.zeros((len(units), int(columns.max()) + 1), dtype=np.float32)
     norm = np.zeros(len(units))
     for key, unit, weight in subsequences(codes, owner):
         at = columns[key]
         np.add.at(out, (unit[at >= 0], at[at >= 0]), weight)
         norm += np.bincount(unit, minlength=len(units)) * weight * weight
-    return out / np.sqrt(np.maximum(norm, LEAST_NORM))[:, None]
+    out /= np.sqrt(np.maximum(norm, LEAST_NORM)).astype(np.float32)[:, None]
+    return out
 
 
 def spoilt(unit: str) -> list[str]:
@@ -175,7 +176,7 @@ def machine(x: np.ndarray, plus: np.ndarray, minus: np.ndarray, ridge: float = 1
     plus, minus = plus / max(1e-9, plus.sum()), minus / max(1e-9, minus.sum())
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        decision = x @ w + BIAS
+        decision = x @ w.astype(x.dtype) + BIAS  # the matrix is not copied
         up, down = plus * (decision < 1), minus * (decision > -1)
         active = np.flatnonzero(up + down)
         left, right = ridge * np.eye(len(w)), np.zeros(len(w))
@@ -196,13 +197,15 @@ class Nystroem:
     def __init__(self, landmarks: list[str]) -> None:
         self.columns = used_by(landmarks)
         phi = features(landmarks, self.columns)
-        values, vectors = np.linalg.eigh(phi @ phi.T)
+        values, vectors = np.linalg.eigh((phi @ phi.T).astype(float))
         keep = values > 1e-5
-        self.ways = (phi.T @ (vectors[:, keep] / np.sqrt(values[keep]))).astype(np.float32)
+        self.ways = phi.T @ (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
 
     def __call__(self, units: list[str]) -> np.ndarray:
-        blocks = [features(units[k : k + 500], self.columns).astype(np.float32) @ self.ways for k in range(0, len(units), 500)]
-        return np.concatenate([*blocks, np.zeros((0, self.ways.shape[1]), np.float32)])
+        out = np.zeros((len(units), self.ways.shape[1]), np.float32)
+        for k in range(0, len(units), 100):
+            out[k : k + 100] = features(units[k : k + 100], self.columns) @ self.ways
+        return out
 
     def folded(self, w: np.ndarray) -> np.ndarray:
         """The weight of each hashed subsequence."""
@@ -247,7 +250,10 @@ def _often(counts: Counter) -> list[str]:
 
 def held_by(sentences: list[str]) -> Counter:
     """In how many of the sentences each unit occurs."""
-    return Counter(u for units in unit_strings(sentences) for u in set(units) if len(u) > 2)
+    out: Counter = Counter()
+    for k in range(0, len(sentences), 2000):
+        out.update(u for units in unit_strings(sentences[k : k + 2000]) for u in set(units) if len(u) > 2)
+    return out
 
 
 def found_by_sentences(toxic: Counter, clean: Counter) -> list[str]:
@@ -268,7 +274,7 @@ def found_by_sentences(toxic: Counter, clean: Counter) -> list[str]:
         high, low = (sorted(range(len(units)), key=lambda k, side=side: (-side * worth[k], units[k]))[: 2 * LANDMARKS] for side in (1, -1))
         space = Nystroem(list(dict.fromkeys([units[k] for k in (*high, *low)] + _by_hash(units)[:LANDMARKS])))
         x = space(units)
-        decision = x @ machine(x, plus, minus) + BIAS
+        decision = x @ machine(x, plus, minus).astype(x.dtype) + BIAS
         worth = np.where(decision > 0, rates[0] * decision, rates[1] * decision)
     order = np.argsort(decision, kind="stable")
     above = np.cumsum(minus[order][::-1])[::-1] * CALM > minus.sum()  # clean sentences' units from here upwards are more than one in CALM
@@ -295,7 +301,7 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     shown = [*positive, *(v for u in positive[:LANDMARKS] for v in spoilt(u))]
     # clean landmarks: those most like the positives, by shared weight, beside mixed ones
     columns = used_by(positive)
-    like = np.concatenate([features(negative[k : k + 500], columns).sum(axis=1) for k in range(0, len(negative), 500)])
+    like = np.concatenate([features(negative[k : k + 100], columns).sum(axis=1) for k in range(0, len(negative), 100)])
     near = [negative[k] for k in np.argsort(-like, kind="stable")[: 2 * LANDMARKS]]
     space = Nystroem(list(dict.fromkeys([*positive[:LANDMARKS], *near, *mixed[:LANDMARKS]])))
     label = np.arange(len(shown) + len(negative)) < len(shown)
