@@ -100,7 +100,7 @@ def test_query(spark, duck, name):
 
 def test_plans(spark):
     """Predicates prune columns, reach no Python and shuffle nothing."""
-    df = queries.table(spark, SF, "orders")
+    df = spark.read.parquet(f"{SF}/orders.parquet")
     plan = Validator({"gt": {"o_totalprice": 5}}).valid(queries.doc_of(df, "o_orderkey", "o_totalprice", "o_orderstatus"), "doc").select("id")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan and "o_orderstatus" not in plan
     assert json.loads(Validator({"type": "object"}).dump()) == {"type": "object"}
