@@ -42,7 +42,7 @@ from docloom.llm.common import Buckets, bucket_groups, drop, hot_keys, in_one_ro
 SHINGLE, PERCENT = 5, 75
 #: Cells of the sketch as a power of two, and the blocks it is summed in.
 SKETCH_BITS, SKETCH_BLOCKS = 22, 16
-BUCKETS_A_PARTITION, FLUSH_BYTES, GROUP_BYTES = 8, 16 << 20, 4 << 20
+BUCKETS_A_PARTITION, FLUSH_BYTES, GROUP_BYTES = 8, 8 << 20, 4 << 20
 #: Rounds of leaders before all pairs across components; least cells of the upper bound, as a power of two.
 LEADERS, CELL_BITS = 2, 6
 #: Members of a block of a list; lists that a task remembers, so as not to send one twice.

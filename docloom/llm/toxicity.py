@@ -340,7 +340,7 @@ def score(documents: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.zeros(batch.num_rows)
-            for lo, hi, data, offsets in text_slices(batch.column(at), 1 << 20):
+            for lo, hi, data, offsets in text_slices(batch.column(at), 1 << 18):
                 found[lo:hi] = model.scores(data, offsets) if model is not None else 0.0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found), pa.array((found >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
