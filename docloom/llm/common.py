@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import sys
 import types
@@ -143,7 +144,15 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
     offsets, data = offsets_of(column), data_of(column)
     for lo, hi in row_slices(offsets, limit):
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-    pa.default_memory_pool().release_unused()  # what earlier batches took
+    give_back()
+
+
+def give_back() -> None:
+    """Let go of what earlier batches took: workers live on, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
 
 
 def is_space() -> np.ndarray:
