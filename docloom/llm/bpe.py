@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import large, offsets_of, row_slices, table, worker_cache
+from docloom.llm.common import large, map_arrow, offsets_of, row_slices, table, worker_cache
 from docloom.llm.pretokens import PART_CHARS, PATTERN, parts, splitter
 
 CACHE_WORDS = 1_000_000
@@ -219,7 +219,7 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 ids = own.encode(texts.slice(lo, hi - lo).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_arrow, run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -233,7 +233,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 part = ids.slice(lo, hi - lo).to_pylist()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(part, pa.binary()), pa.array(own.decode(part), pa.binary())], names=["doc_id", "ids", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary")
+    return encoded.select("doc_id", "ids").transform(map_arrow, run, "doc_id long, ids binary, bytes binary")
 
 
 def round_trip(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -247,7 +247,7 @@ def round_trip(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame
                 ids = own.encode(texts.slice(lo, hi - lo).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array(own.decode(ids), pa.binary())], names=["doc_id", "ids", "bytes"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, bytes binary")
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_arrow, run, "doc_id long, ids binary, bytes binary")
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:

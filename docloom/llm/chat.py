@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import large, offsets_of, data_of, shuffle_partitions
+from docloom.llm.common import data_of, large, map_arrow, offsets_of, shuffle_partitions
 
 CONTROL = r"/?INST\]|/?s>"
 _ESCAPE = re.compile(rf"([\[<])(\\*)({CONTROL})")
@@ -112,7 +112,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     """conv_id, formatted string, loss_spans: byte ranges of the assistants' texts in it."""
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(_assemble_sorted, "conv_id long, formatted string, loss_spans array<array<long>>")
+    return dealt.select("conv_id", "role", "text").transform(map_arrow, _assemble_sorted, "conv_id long, formatted string, loss_spans array<array<long>>")
 
 
 _TURN = re.compile(r"\[INST\](.*?)\[/INST\]\n(.*?)</s>\n", re.S)
@@ -145,7 +145,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest(formatted: DataFrame) -> DataFrame:
     """Counts and hashes of what can be read back from the formatted strings."""
-    return formatted.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.transform(map_arrow, _digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op9_chat_format(spark, sf_dir: str) -> DataFrame:

@@ -46,6 +46,8 @@ def _hadoop(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+#: Spark's bound of an Arrow batch, its default, and the one that takes its place.
+BATCH, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -100,6 +102,13 @@ def join_spread(many: DataFrame, one: DataFrame, key: str, by: str, hot: DataFra
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow in batches of about BATCH_BYTES, or what the session names: rows of a batch are held several times over, in the JVM and in its worker."""
+    if df.sparkSession.conf.get(BATCH) == BATCH_DEFAULT:
+        df.sparkSession.conf.set(BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

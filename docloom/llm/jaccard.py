@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Buckets, bucket_groups, drop, hot_keys, in_one_row, join_spread, materialise, shuffle_partitions, table, text_slices, to_buckets, window_hashes, word_hashes, words_of
+from docloom.llm.common import Buckets, bucket_groups, drop, hot_keys, in_one_row, join_spread, map_arrow, materialise, shuffle_partitions, table, text_slices, to_buckets, window_hashes, word_hashes, words_of
 
 SHINGLE, PERCENT = 5, 75
 #: Cells of the sketch as a power of two, and the blocks it is summed in.
@@ -103,10 +103,10 @@ def sketch(documents: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zip_.compress(total.tobytes())], pa.binary())], names=["block", "blob"])
 
     kind = "block int, blob binary"
-    parts = documents.select(F.col("text").cast("string")).mapInArrow(count, kind)
+    parts = documents.select(F.col("text").cast("string")).transform(map_arrow, count, kind)
     n = shuffle_partitions(documents.sparkSession)
-    parts = parts.repartition(n, "block", F.pmod(F.spark_partition_id(), F.lit(max(1, n // SKETCH_BLOCKS)))).mapInArrow(add, kind)
-    parts = parts.repartition(min(n, SKETCH_BLOCKS), "block").mapInArrow(add, kind)
+    parts = parts.repartition(n, "block", F.pmod(F.spark_partition_id(), F.lit(max(1, n // SKETCH_BLOCKS)))).transform(map_arrow, add, kind)
+    parts = parts.repartition(min(n, SKETCH_BLOCKS), "block").transform(map_arrow, add, kind)
     levels, unzip = np.zeros(cells, dtype=np.uint8), zstandard.ZstdDecompressor()
     for block, blob in parts.collect():  # SKETCH_BLOCKS rows, of 2 MB together at most a block
         counts = np.frombuffer(unzip.decompress(bytes(blob)), dtype=np.int64)
@@ -173,7 +173,7 @@ def document_classes(documents: DataFrame, levels: np.ndarray, shingle: int, per
             arrays = [pa.array(x, kind) for x, kind in ((n, pa.int64()), (cls, pa.binary()), (grp, pa.int64()), (cells, pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "text_hash", "n", "cls", "grp", "cells"])
 
-    return documents.select(F.col("doc_id").cast("long"), text_hash("text"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text_hash long, n long, cls binary, grp long, cells binary")
+    return documents.select(F.col("doc_id").cast("long"), text_hash("text"), F.col("text").cast("string")).transform(map_arrow, run, "doc_id long, text_hash long, n long, cls binary, grp long, cells binary")
 
 
 def _pack(tokens: np.ndarray, groups: np.ndarray) -> bytes:
@@ -242,8 +242,8 @@ def candidate_lists(documents: DataFrame, levels: np.ndarray, shingle: int, perc
                 offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["list", "groups"])
 
-    posted = documents.select(F.col("text").cast("string")).mapInArrow(post, "bucket int, blob binary")
-    return to_buckets(posted).mapInArrow(lists, "list long, groups array<long>").dropDuplicates(["list", "groups"])
+    posted = documents.select(F.col("text").cast("string")).transform(map_arrow, post, "bucket int, blob binary")
+    return to_buckets(posted).transform(map_arrow, lists, "list long, groups array<long>").dropDuplicates(["list", "groups"])
 
 
 def with_classes(pairs: DataFrame, classes: DataFrame, *columns: str) -> DataFrame:
@@ -269,7 +269,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * common >= percent * (len(both) - common))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return with_classes(pairs, sets, "tokens").mapInArrow(run, "a binary, b binary")
+    return with_classes(pairs, sets, "tokens").transform(map_arrow, run, "a binary, b binary")
 
 
 def sets_of(documents: DataFrame, classes: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
@@ -284,7 +284,7 @@ def sets_of(documents: DataFrame, classes: DataFrame, needed: DataFrame, shingle
     ids = classes.join(needed, "cls", "left_semi").select("doc_id")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     same = texts["doc_id"].eqNullSafe(ids["doc_id"])
-    found = texts.join(ids, same, "left_semi").select("text").mapInArrow(run, "cls binary, tokens binary").where("cls IS NOT NULL")
+    found = texts.join(ids, same, "left_semi").select("text").transform(map_arrow, run, "cls binary, tokens binary").where("cls IS NOT NULL")
     return found.dropDuplicates(["cls"])
 
 
@@ -410,7 +410,7 @@ def live_members(members: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cls), rows.column("list")[0].as_py())), pa.array(cls, pa.binary())], names=["list", "cls"])
 
     dealt = members.select("list", "cls", "n", "cells").repartition(shuffle_partitions(members.sparkSession), "list").sortWithinPartitions("list")
-    return dealt.mapInArrow(run, "list long, cls binary")
+    return dealt.transform(map_arrow, run, "list long, cls binary")
 
 
 def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -439,7 +439,7 @@ def leader_pairs(live: DataFrame, hot: DataFrame | None, classes: DataFrame, lab
     pairs = materialise(pairs.select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct(), "led")
     found = with_classes(pairs, classes, "n", "cells")
     found = found.where(F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
-    return found.mapInArrow(run, "a binary, b binary")
+    return found.transform(map_arrow, run, "a binary, b binary")
 
 
 def other_pairs(live: DataFrame, hot: DataFrame | None, classes: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
@@ -477,7 +477,7 @@ def other_pairs(live: DataFrame, hot: DataFrame | None, classes: DataFrame, labe
     lists = live.groupBy("cls").agg(F.collect_set("list").alias("lists"))  # as many as the class has prefix tokens, at most
     dealt = inner.union(outer).join(classes.select("cls", "n", "cells"), "cls").join(lists, "cls")
     dealt = dealt.repartition(shuffle_partitions(live.sparkSession), "list", "o", "i").sortWithinPartitions("list", "o", "i")
-    return dealt.mapInArrow(run, "a binary, b binary")
+    return dealt.transform(map_arrow, run, "a binary, b binary")
 
 
 def link(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import mix, table, text_slices
+from docloom.llm.common import map_arrow, mix, table, text_slices
 
 #: Longest n-gram, presence bits, training documents and landmarks for each language, ridge, rows in a block.
 ORDER, DIMENSION, SLOTS, LANDMARKS, RIDGE, BLOCK = 3, 1 << 15, 256, 24, 1e-2, 64
@@ -120,7 +120,7 @@ def train(documents: DataFrame) -> Model | None:
                 bits = np.packbits(presence(data, offsets).astype(bool), axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([b.tobytes() for b in bits], pa.binary())], names=["doc_id", "lang", "bits"])
 
-    found = rows.mapInArrow(run, "doc_id long, lang string, bits binary").groupBy("doc_id", "lang").agg(F.min("bits"))  # of repeated rows one
+    found = rows.transform(map_arrow, run, "doc_id long, lang string, bits binary").groupBy("doc_id", "lang").agg(F.min("bits"))  # of repeated rows one
     found = sorted(found.collect(), key=lambda r: (r[0], r[1]))
     bits = np.array([np.unpackbits(np.frombuffer(r[2], np.uint8)) for r in found], dtype=np.float32).reshape(len(found), DIMENSION)
     return fit([r[1] for r in found], bits)
@@ -147,7 +147,7 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
                     score[letter] = (support.max(axis=1) / support.sum(axis=1))[letter]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(langs.tolist(), pa.string()), pa.array(score.astype(np.float64))], names=["doc_id", "lang_pred", "score"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_arrow, run, "doc_id long, lang_pred string, score double")
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import large, offsets_of, row_slices, table, worker_cache
+from docloom.llm.common import large, map_arrow, offsets_of, row_slices, table, worker_cache
 from docloom.llm.pretokens import PATTERN, parts, splitter
 
 #: Sequence length, and the id that ends a document.
@@ -128,7 +128,7 @@ def pack(documents: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: in
                 arrays = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(start, pa.int64()), pa.array(length), pa.array(ids, pa.binary()), pa.array(total, pa.int64()), bucket]
                 yield pa.RecordBatch.from_arrays([a.take(order) for a in arrays], names=["doc_id", "start", "length", "ids", "doc_tokens", "bucket"])
 
-    out = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int")
+    out = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_arrow, run, "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int")
     return out.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Buckets, bucket_groups, in_one_row, join_hashes, large, materialise, mix, shuffle_partitions, table, text_slices, to_buckets, window_hashes, word_hashes, words_of
+from docloom.llm.common import Buckets, bucket_groups, in_one_row, join_hashes, large, map_arrow, materialise, mix, shuffle_partitions, table, text_slices, to_buckets, window_hashes, word_hashes, words_of
 
 #: Words in a window and in the runs whose least hash is the minimiser.
 WIDTH, SEED = 20, 4
@@ -118,7 +118,7 @@ def hot_cells(documents: DataFrame, width: int = WIDTH, seed: int = SEED) -> np.
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "k"])
 
-    counts = documents.select(F.col("text").cast("string")).mapInArrow(count, "cell long, k long").groupBy("cell").agg(F.sum("k").alias("k"))
+    counts = documents.select(F.col("text").cast("string")).transform(map_arrow, count, "cell long, k long").groupBy("cell").agg(F.sum("k").alias("k"))
     rows = counts.select("cell", "k", (F.sum("k").over(Window.partitionBy(F.lit(0))) / HOT_CELLS).alias("least")).where("k > least")  # CELLS rows at most
     out = np.zeros(CELLS, dtype=bool)
     out[[r.cell for r in rows.collect()]] = True
@@ -273,9 +273,9 @@ def repeated_spans(documents: DataFrame, width: int = WIDTH, seed: int = SEED) -
         yield from settled
 
     rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.col("text").cast("string"))
-    found = rows.mapInArrow(_partitioner(n_buckets, width, seed, hot), SPANS)
+    found = rows.transform(map_arrow, _partitioner(n_buckets, width, seed, hot), SPANS)
     dealt = to_buckets(found.withColumn("bucket", F.coalesce("bucket", (F.pmod(F.hash("doc", "lo"), F.lit(n_buckets))).cast("int"))))
-    return dealt.mapInArrow(reduce, "doc long, text_hash long, lo int, hi int")
+    return dealt.transform(map_arrow, reduce, "doc long, text_hash long, lo int, hi int")
 
 
 def _cutter(width: int):
@@ -320,7 +320,7 @@ def dedup(documents: DataFrame, width: int = WIDTH, seed: int = SEED, keep: tupl
     )
     joined = rows.join(spans, ["doc", "text_hash"], "left").select("doc_id", "text", *keep, "spans")
     schema = ", ".join(f"`{n}` {t}" for n, t in joined.drop("spans").dtypes)
-    return joined.mapInArrow(_cutter(width), f"{schema}, n_words long, n_removed long, kept string")
+    return joined.transform(map_arrow, _cutter(width), f"{schema}, n_words long, n_removed long, kept string")
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import mix, table, text_slices, words_of
+from docloom.llm.common import map_arrow, mix, table, text_slices, words_of
 
 #: Most places of a subsequence, decay a place, hashed subsequences.
 SPAN, DECAY, DIMENSION = 5, 0.6, 1 << 18
@@ -328,7 +328,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model | None:
         for batch in batches:
             yield batch.filter(pc.is_in(batch.column(0), wanted))
 
-    found = rows.mapInArrow(run, "doc_id long, text string").groupBy("doc_id").agg(F.min("text").alias("text")).collect()  # of repeated rows one
+    found = rows.transform(map_arrow, run, "doc_id long, text string").groupBy("doc_id").agg(F.min("text").alias("text")).collect()  # of repeated rows one
     return fit(sorted({(r["text"], chosen[r["doc_id"]]) for r in found}))
 
 
@@ -345,7 +345,7 @@ def score(documents: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found), pa.array((found >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in documents.dtypes)
-    return documents.mapInArrow(run, f"{schema}, score double, predicted int")
+    return documents.transform(map_arrow, run, f"{schema}, score double, predicted int")
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
