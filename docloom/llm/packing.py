@@ -33,7 +33,7 @@ SIZE, END_ID = 2048, 1
 #: Bytes of text that the tokenizer gets at once.
 ENCODE_BYTES = 1 << 20
 #: Words that a worker keeps the ids of; the cache is emptied when full, which changes nothing.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 
 
 def pieces(n: int, size: int = SIZE) -> tuple[list[int], list[int]]:
