@@ -6,14 +6,14 @@ compares two areas, is quantised to two Gray-coded bits, and the 32 bits of a pl
 one packed integer. Landmarks are pairs of neighbouring integers. Frames start at every hop
 of four PHASES, chosen so that the differences of two phases lie at most six samples apart:
 copies that begin between two hops meet at some pair of phases, three samples off at most.
-Every landmark of every phase is posted, at its first place in the recording. Every recording
-is compared with the earliest recording of each of its landmarks: of each such pair the shifts
-of most votes are taken, LEAST_VOTES at least within half a hop, and the bit errors are counted on the segment that matches best.
+Every landmark of every phase is posted, at its first place in the recording. Two recordings link
+if bit errors are few on the segment that matches best at any shift with LEAST_VOTES common landmarks within half a hop.
 
 Recordings of equal samples are one class and align with the earliest of it, however short;
-that one alone is compared with others. Posting the earliest holder of a landmark, instead of
-all pairs of holders, keeps rows linear in the input however many near copies a recording has:
-a recording is not paired with a holder that is nowhere the earliest.
+that one alone is compared with others. Links are sought in two passes. First every recording is compared with the
+earliest holder of each of its landmarks, whose rows stay linear in the input however many near copies a recording has.
+Components of those links follow; then all holders of a landmark that lie in different components are compared, on all
+landmarks that they share. So every link not returned joins two recordings of one component, and components are those of all links.
 
 An earliest holder of very many recordings is dealt over salts where fingerprints are joined.
 
@@ -30,6 +30,7 @@ import io
 import struct
 import wave
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import Buckets, bucket_groups, data_of, drop, hot_keys, join_spread, large, map_arrow, materialise, mix, offsets_of, row_slices, shuffle_partitions, table, to_buckets
+from docloom.llm.jaccard import components
 
 #: Samples a second, samples of a frame and between frames, frames that an integer spans, lowest and highest pitch.
 RATE, FRAME, HOP, WINDOW, LOW, HIGH = 8000, 512, 64, 12, 60.0, 3500.0
 #: Samples by which the frames of a recording are put off: the differences of two are every thirteenth of HOP.
 PHASES = (0, 5, 15, 44)
-#: Shifts of a pair that are compared; the least votes within half a hop of one.
-BEST_SHIFTS, LEAST_VOTES = 4, 2
+#: The least votes within half a hop of a shift that is compared.
+LEAST_VOTES = 2
 #: Bit errors at which a segment ends, and with which one still aligns, below LONG_PLACES and from there; its least places.
 #: Unrelated texts of sf0.01 differ in 0.345 of their bits (0.01 of their runs of 16 places in under 0.21), copies at any shift in 0.001 (median).
 EDGE_ERRORS, SHORT_ERRORS, MOST_ERRORS, LONG_PLACES, LEAST_PLACES = 0.2, 0.05, 0.1, 16, 2
@@ -51,8 +53,8 @@ EDGE_ERRORS, SHORT_ERRORS, MOST_ERRORS, LONG_PLACES, LEAST_PLACES = 0.2, 0.05, 0
 SLICE_SAMPLES, CHUNK = 4 << 20, 256
 #: Buckets for each shuffle partition; bytes of landmarks that a map task packs at once, and that a reducer takes together.
 BUCKETS_A_PARTITION, FLUSH_BYTES, GROUP_BYTES = 8, 64 << 20, 16 << 20
-#: Parts of the pairs that fingerprints are joined to one after another.
-PARTS = 4
+#: Parts of the pairs that fingerprints are joined to one after another; votes of pairs that are made at once.
+PARTS, VOTES = 4, 1 << 20
 
 
 def decode_wav(raw: bytes, rate: int = RATE) -> np.ndarray:
@@ -195,15 +197,17 @@ def landmarks_of(prints: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 SENT = 40
 
 
-def _pack(keys: np.ndarray, ids: np.ndarray, places: np.ndarray) -> bytes:
+def _pack(keys: np.ndarray, places: np.ndarray, *owners: np.ndarray) -> bytes:
     low, high = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), (keys >> np.uint64(32)).astype(np.uint8)
-    return struct.pack("<q", len(keys)) + ids.tobytes() + low.tobytes() + places.astype(np.int32).tobytes() + high.tobytes()
+    return struct.pack("<q", len(keys)) + b"".join(x.tobytes() for x in owners) + low.tobytes() + places.astype(np.int32).tobytes() + high.tobytes()
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(blob: bytes, owners: int) -> tuple[np.ndarray, ...]:
+    """Keys, places and columns of owners."""
     n = struct.unpack_from("<q", blob)[0]
-    low, high = np.frombuffer(blob, np.uint32, n, 8 + 8 * n), np.frombuffer(blob, np.uint8, n, 8 + 16 * n)
-    return low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), np.frombuffer(blob, np.int64, n, 8), np.frombuffer(blob, np.int32, n, 8 + 12 * n)
+    at = 8 + 8 * n * owners
+    low, places, high = np.frombuffer(blob, np.uint32, n, at), np.frombuffer(blob, np.int32, n, at + 4 * n), np.frombuffer(blob, np.uint8, n, at + 8 * n)
+    return low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), places, *(np.frombuffer(blob, np.int64, n, 8 + 8 * n * k) for k in range(owners))
 
 
 def _pack_votes(x: np.ndarray, y: np.ndarray, shift: np.ndarray) -> bytes:
@@ -216,23 +220,25 @@ def _open_votes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(np.frombuffer(blob, np.int64, n, 8)), np.frombuffer(blob, np.int64, n, 8 + 8 * n), np.frombuffer(blob, np.int32, n, 8 + 16 * n)
 
 
-def votes_of(prints: DataFrame) -> DataFrame:
-    """id, aligned_id, shift, votes, i, j, at: the shifts worth a comparison, and the phases that meet there.
+def votes_of(prints: DataFrame, labelled: bool = False) -> DataFrame:
+    """id, aligned_id, shifts, votes: the pairs and shifts worth a comparison.
 
-    A landmark votes for how many samples later it lies than in its earliest holder; votes go in packed buckets of ids.
+    A landmark votes for how many samples later it lies in the later of two holders: in its earliest holder and each other
+    one or, if `labelled`, in any two of different labels. Votes go in packed buckets of ids.
     """
     n_buckets = BUCKETS_A_PARTITION * shuffle_partitions(prints.sparkSession)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Buckets(n_buckets, FLUSH_BYTES, _pack)
         for batch in batches:
-            for id_, phases in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for id_, label, phases in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 keys, places = landmarks_of([np.frombuffer(x, "<u4") for x in phases])
                 keys = mix(keys)
                 buckets = (keys % np.uint64(n_buckets)).astype(np.int64)
                 keys = (keys // np.uint64(n_buckets)) & np.uint64((1 << SENT) - 1)
                 # by bucket and then key, so that a hash below stands for its bucket too
-                blobs = out.add(buckets, (keys, np.full(len(keys), id_, np.int64), places), 20 * len(keys))
+                own = [np.full(len(keys), x, np.int64) for x in (id_, label)[: 1 + labelled]]
+                blobs = out.add(buckets, (keys, places, *own), 12 * len(keys) + 8 * len(keys) * len(own))
                 if blobs is not None:
                     yield blobs
         blobs = out.flush()
@@ -242,19 +248,18 @@ def votes_of(prints: DataFrame) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Buckets(n_buckets, FLUSH_BYTES, _pack_votes)
         for blobs in bucket_groups(batches, GROUP_BYTES, numbered=True):
-            parts = [(np.full(len(c[0]), bucket), *c) for bucket, blob in blobs for c in [_unpack(blob)]]
-            bucket, keys, ids, places = (np.concatenate(c) for c in zip(*parts, strict=True))
+            parts = [(np.full(len(c[0]), bucket), *c) for bucket, blob in blobs for c in [_unpack(blob, 1 + labelled)]]
+            bucket, keys, places, ids, *labels = (np.concatenate(c) for c in zip(*parts, strict=True))
             order = np.lexsort((ids, keys, bucket))
-            bucket, keys, ids, places = bucket[order], keys[order], ids[order], places[order]
+            bucket, keys, places, ids, labels = bucket[order], keys[order], places[order], ids[order], [x[order] for x in labels]
             new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (bucket[1:] != bucket[:-1])])
-            origin = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = ids != ids[origin]
-            x, y, shift = ids[later], ids[origin][later], places[later] - places[origin][later]
-            if not len(x):
-                continue
-            blobs = out.add((mix(x.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64), (x, y, shift.astype(np.int32)), 20 * len(x))
-            if blobs is not None:
-                yield blobs
+            for first, later in across(new, labels[0]) if labelled else [to_earliest(new, ids)]:
+                x, y, shift = ids[later], ids[first], places[later] - places[first]
+                if not len(x):
+                    continue
+                blobs = out.add((mix(x.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64), (x, y, shift.astype(np.int32)), 20 * len(x))
+                if blobs is not None:
+                    yield blobs
         blobs = out.flush()
         if blobs is not None:
             yield blobs
@@ -268,21 +273,52 @@ def votes_of(prints: DataFrame) -> DataFrame:
             ends = np.append(cut[1:], len(x))
             rows, chosen = [], []
             for a, b in zip(cut[ends - cut >= LEAST_VOTES].tolist(), ends[ends - cut >= LEAST_VOTES].tolist(), strict=True):
-                for at, votes in best_shifts(shift[a:b]):
+                found = best_shifts(shift[a:b])
+                if found:
                     rows.append(a)
-                    chosen.append((at, votes, *phases_of(at)))
+                    chosen.append(found)
             if rows:
-                columns = [pa.array([c[k] for c in chosen], pa.int32()) for k in range(5)]
-                yield pa.RecordBatch.from_arrays([pa.array(x[rows]), pa.array(y[rows]), *columns], names=["id", "aligned_id", "shift", "votes", "i", "j", "at"])
+                columns = [pa.array([[f[k] for f in c] for c in chosen], pa.list_(pa.int32())) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([pa.array(x[rows]), pa.array(y[rows]), *columns], names=["id", "aligned_id", "shifts", "votes"])
 
     kind = "bucket int, blob binary"
-    votes = to_buckets(prints.select("id", "phases").transform(map_arrow, post, kind)).transform(map_arrow, meet, kind)
-    return to_buckets(votes).transform(map_arrow, choose, "id long, aligned_id long, shift int, votes int, i int, j int, at int")
+    posted = prints.select("id", F.col("label") if labelled else F.col("id").alias("label"), "phases")
+    votes = to_buckets(posted.transform(map_arrow, post, kind)).transform(map_arrow, meet, kind)
+    return to_buckets(votes).transform(map_arrow, choose, "id long, aligned_id long, shifts array<int>, votes array<int>")
+
+
+def to_earliest(new: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the first holder and of each later one of lists that begin at `new`."""
+    origin = np.flatnonzero(new)[np.cumsum(new) - 1]
+    later = np.flatnonzero(ids != ids[origin])
+    return origin[later], later
+
+
+def across(new: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of any two holders of different labels, the earlier first, of lists that begin at `new`; about VOTES at once."""
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.append(starts, len(new)))
+    mixed = np.add.reduceat(labels != np.repeat(labels[starts], sizes), starts) > 0
+    starts, sizes = starts[mixed], sizes[mixed]
+    for size in np.unique(sizes).tolist():
+        own = starts[sizes == size]
+        step = max(1, VOTES // (size * size))
+        for k in range(0, len(own), step):
+            lists = own[k : k + step, None]
+            for lo in range(0, size, max(1, VOTES // size)):  # a list too long for one go: some of its rows against all
+                i, j = np.nonzero(np.arange(lo, min(size, lo + max(1, VOTES // size)))[:, None] < np.arange(size))
+                first, later = (lists + i + lo).ravel(), (lists + j).ravel()
+                apart = labels[first] != labels[later]
+                yield first[apart], later[apart]
+
+
+#: The phases of two recordings that meet at a shift, by its rest modulo HOP: of several the first.
+MEETING = {(p - q) % HOP: (i, j) for i, p in reversed(list(enumerate(PHASES))) for j, q in reversed(list(enumerate(PHASES)))}
 
 
 def phases_of(shift: int) -> tuple[int, int, int]:
     """The phases of two recordings that meet at a shift, and how many places later the first then lies."""
-    i, j = next((i, j) for i, p in enumerate(PHASES) for j, q in enumerate(PHASES) if (shift - p + q) % HOP == 0)
+    i, j = MEETING[shift % HOP]
     return i, j, (shift - PHASES[i] + PHASES[j]) // HOP
 
 
@@ -300,30 +336,59 @@ def segment(x: np.ndarray, y: np.ndarray, offset: int) -> tuple[int, int]:
 
 
 def best_shifts(cast: np.ndarray) -> list[tuple[int, int]]:
-    """The shifts of most votes within half a hop, LEAST_VOTES at least, and those votes."""
+    """The shifts with LEAST_VOTES votes or more within half a hop, and those votes, the most first."""
     shift, votes = np.unique(cast.astype(np.int64), return_counts=True)
     total = np.concatenate([[0], np.cumsum(votes)])
     near = total[np.searchsorted(shift, shift + HOP // 2, "right")] - total[np.searchsorted(shift, shift - HOP // 2, "left")]
-    best = np.lexsort((shift, np.abs(shift), -votes, -near))[:BEST_SHIFTS]
+    best = np.lexsort((shift, np.abs(shift), -votes, -near))
     best = best[near[best] >= LEAST_VOTES]
     return list(zip(shift[best].tolist(), near[best].tolist(), strict=True))
 
 
+def compared(pairs: DataFrame, own: DataFrame, most_errors: float) -> list[DataFrame]:
+    """id, aligned_id, shift, votes, bit_errors, bits of the pairs that align, in PARTS written tables; `pairs` is a written table, dropped."""
+
+    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for k, (shifts, votes) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("shifts", "votes")), strict=True)):
+                x, y = ([np.frombuffer(p.as_buffer(), "<u4") for p in batch.column(c)[k]] for c in ("x", "y"))
+                best = None
+                for shift, n in zip(shifts, votes, strict=True):
+                    i, j, at = phases_of(shift)
+                    wrong, places = segment(x[i], y[j], at)
+                    allowed = min(most_errors, SHORT_ERRORS) if places < LONG_PLACES else most_errors
+                    if places >= LEAST_PLACES and wrong <= allowed * 32 * places:
+                        one = (EDGE_ERRORS * 32 * places - wrong, n, -abs(shift), shift, wrong, 32 * places)
+                        best = one if best is None else max(best, one)
+                if best:
+                    rows.append(k)
+                    found.append(best)
+            if rows:
+                ids = batch.select(["id", "aligned_id"]).take(pa.array(rows)).columns
+                numbers = [pa.array([f[k] for f in found], kind) for k, kind in ((3, pa.int32()), (1, pa.int64()), (4, pa.int64()), (5, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*ids, *numbers], names=["id", "aligned_id", "shift", "votes", "bit_errors", "bits"])
+
+    hot, found = hot_keys(pairs, "aligned_id"), []
+    for part in range(PARTS):  # so that the shuffle files of one part of the pairs lie on disk at a time
+        mine = F.pmod(F.xxhash64("aligned_id"), F.lit(PARTS)) == part
+        left = pairs.where(mine).join(own, "id").withColumnRenamed("phases", "x")
+        other = own.select(F.col("id").alias("aligned_id"), F.col("phases").alias("y")).where(mine)
+        both = join_spread(left, other, "aligned_id", "id", hot).select("id", "aligned_id", "shifts", "votes", "x", "y")
+        found.append(materialise(both.transform(map_arrow, errors, "id long, aligned_id long, shift int, votes long, bit_errors long, bits long"), "compared"))
+    drop(pairs)
+    return found
+
+
 def align(prints: DataFrame, most_errors: float = MOST_ERRORS, spent: bool = False) -> DataFrame:
     """id, aligned_id, offset, shift, votes, bit_errors, bits: the earlier recordings that a recording lines up with.
 
     `prints` as `fingerprint` gives them, written to a table, which is dropped when it is `spent`. Sample s of the recording is sample
     s - shift of the aligned one, which is place p - offset for place p, to the nearest place; bits are those of the
     matching segment. A recording of the very samples of an earlier one has one row, with no votes:
-    what else it lines up with is what the earliest of its class does. Rows without an alignment are left out.
+    what else it lines up with is what the earliest of its class does. Rows without an alignment are left out; the
+    components of the rows are those of all alignments, though two near copies of an earlier recording may have no row of their own.
     """
-
-    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [segment(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4"), at) for x, y, at in zip(batch.column("x"), batch.column("y"), batch.column("at").to_pylist(), strict=True)]
-            wrong, bits = (pa.array([f[k] * size for f in found], pa.int64()) for k, size in ((0, 1), (1, 32)))
-            yield pa.RecordBatch.from_arrays([*batch.select(["id", "aligned_id", "shift", "votes"]).columns, wrong, bits], names=["id", "aligned_id", "shift", "votes", "bit_errors", "bits"])
-
     keyed = prints.where("id IS NOT NULL AND content IS NOT NULL").select("id", "content", F.octet_length("fp").alias("size"))
     single = materialise(keyed.groupBy("id").agg(F.min(F.struct("content", "size")).alias("p")).select("id", "p.content", "p.size"), "contents")
     first = single.groupBy("content").agg(F.min("id").alias("first"))
@@ -334,29 +399,24 @@ def align(prints: DataFrame, most_errors: float = MOST_ERRORS, spent: bool = Fal
     own = materialise(prints.where("octet_length(fp) > 4").join(ids, ["id", "content"], "left_semi").dropDuplicates(["id", "content"]).select("id", phases), "own-prints")
     if spent:
         drop(prints)
-    pairs = materialise(votes_of(own), "pairs")
-    hot = hot_keys(pairs, "aligned_id")
-    best = F.max(F.struct((EDGE_ERRORS * F.col("bits") - F.col("bit_errors")).alias("gain"), "votes", (-F.abs("shift")).alias("near"), "shift", "bit_errors", "bits")).alias("b")
-    found = None
-    for part in range(PARTS):  # so that the shuffle files of one part of the pairs lie on disk at a time
-        mine = F.pmod(F.xxhash64("aligned_id"), F.lit(PARTS)) == part
-        left = pairs.where(mine).join(own, "id").select("id", "aligned_id", "shift", "votes", "j", "at", F.get("phases", F.col("i")).alias("x"))
-        other = own.withColumnRenamed("id", "aligned_id").where(mine)
-        both = join_spread(left, other, "aligned_id", "id", hot).select("id", "aligned_id", "shift", "votes", "at", "x", F.get("phases", F.col("j")).alias("y"))
-        one = both.transform(map_arrow, errors, "id long, aligned_id long, shift int, votes int, bit_errors long, bits long")
-        one = materialise(one.groupBy("id", "aligned_id").agg(best).select("id", "aligned_id", "b.shift", F.col("b.votes").cast("long").alias("votes"), "b.bit_errors", "b.bits"), "compared")
-        found = one if found is None else found.union(one)
-    drop(own, pairs)
-    allowed = F.when(F.col("bits") < 32 * LONG_PLACES, F.least(F.lit(most_errors), F.lit(SHORT_ERRORS))).otherwise(F.lit(most_errors))
-    found = found.where(F.col("bits") >= 32 * LEAST_PLACES).where(F.col("bit_errors") <= allowed * F.col("bits"))
-    out = found.unionByName(copies)
+    found = compared(materialise(votes_of(own), "pairs"), own, most_errors)
+    labels = components(reduce(DataFrame.union, found).select(F.col("id").alias("a"), F.col("aligned_id").alias("b")))
+    labelled = own.join(labels.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left").select("id", F.coalesce("label", "id").alias("label"), "phases")
+    found += compared(materialise(votes_of(labelled, True), "pairs"), own, most_errors)
+    drop(own, labels)
+    out = reduce(DataFrame.union, found).unionByName(copies)
     return out.select("id", "aligned_id", F.floor(F.col("shift") / HOP + 0.5).cast("int").alias("offset"), "shift", "votes", "bit_errors", "bits")
 
 
 def op1_audio_fingerprint(spark, sf_dir: str) -> DataFrame:
-    """The UTF-8 bytes of every text, read as 8-bit samples: no table has sound."""
+    """The UTF-8 bytes of every text, read as 8-bit samples: no table has sound.
+
+    A row for each alignment of a document, or one without; component_id is the smallest doc_id reachable by alignments.
+    """
     documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("audio"))
     prints = materialise(fingerprint(documents, "pcm8"), "prints")
     rows = materialise(prints.select(F.col("id").alias("doc_id"), "n_frames", (F.octet_length("fp") / 4).cast("long").alias("n_integers"), F.sha2("fp", 256).alias("fp_sha256")), "digests")
-    found = align(prints, spent=True).withColumnRenamed("id", "doc_id")
-    return rows.join(found, "doc_id", "left")
+    found = materialise(align(prints, spent=True), "aligned")
+    labels = components(found.select(F.col("id").alias("a"), F.col("aligned_id").alias("b")))
+    rows = rows.join(labels.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return rows.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")

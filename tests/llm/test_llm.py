@@ -576,6 +576,41 @@ def test_recordings_align_with_every_partner(spark):
     assert all(r.bits < 32 * 45 for r in out)
 
 
+def test_recordings_align_though_others_hold_each_landmark_first(spark):
+    rng = random.Random(13)
+    passage, least = pcm(rng, 2600), audio.FRAME + audio.WINDOW * audio.HOP
+    mine = passage + pcm(rng, 3000)
+    snippets = [mine[a : a + least] for p in audio.PHASES for a in range(p, len(passage), audio.HOP)]  # of one landmark each
+    rows = [*enumerate(snippets), (1000, mine), (1001, passage + pcm(rng, 3000))]
+    assert {(r.id, r.aligned_id) for r in alignments(spark, rows)} == {(1001, 1000)}
+
+
+def test_every_shift_with_votes_is_compared():
+    cast = np.repeat(1000 * np.arange(9), 2)
+    assert sorted(audio.best_shifts(np.append(cast, 500))) == [(1000 * k, 2) for k in range(9)]
+
+
+def test_pairs_across_labels(monkeypatch):
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(1, 30, 60)
+    starts = np.cumsum(sizes) - sizes
+    new, labels = np.zeros(sizes.sum(), bool), rng.integers(0, 3, sizes.sum())
+    new[starts] = True
+    want = sorted((i, j) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True) for i in range(a, a + n) for j in range(i + 1, a + n) if labels[i] != labels[j])
+    for votes in (1 << 20, 100, 7):
+        monkeypatch.setattr(audio, "VOTES", votes)
+        assert sorted((i, j) for x, y in audio.across(new, labels) for i, j in zip(x.tolist(), y.tolist(), strict=True)) == want
+
+
+def test_components_of_recordings(spark, tmp_path):
+    rng = random.Random(14)
+    a, b, c = (pcm(rng, 4000).decode() for _ in range(3))
+    rows = [(5, a), (3, b), (9, a[:2500] + b[1500:]), (4, c), (11, c), (12, None), (13, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = audio.op1_audio_fingerprint(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {(5, 3), (3, 3), (9, 3), (4, 4), (11, 4), (12, 12), (13, 13)}
+
+
 def test_unrelated_recordings_do_not_align(spark):
     rng = random.Random(11)
     line, mine, theirs = pcm(rng, 1290), pcm(rng, 3000), pcm(rng, 3000)
