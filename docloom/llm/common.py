@@ -49,19 +49,23 @@ def _hadoop(spark: SparkSession, path: str):
 #: Spark's bound of an Arrow batch, its default, and the one that takes its place.
 BATCH, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Files of a written table: so many for each core, or at least LEAST_FILES.
+FILES_A_CORE, LEAST_FILES = 4, 32
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write a table into the shared folder and read it back.
 
     The shuffle files behind it go when it is written. The table goes by `drop`, or with the application.
+    A task that writes takes several partitions, one after another, where there are many for each core: without its native
+    library Hadoop starts a process of its own for the mode of every file and folder, from within the executor.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.coalesce(max(LEAST_FILES, FILES_A_CORE * spark.sparkContext.defaultParallelism)).write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     system, where = _hadoop(spark, path)

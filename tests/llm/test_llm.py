@@ -470,6 +470,13 @@ def test_long_lists_are_dealt_out(spark, monkeypatch, block):
     assert out == brute_components(rows, 5, 75)
 
 
+def test_tables_of_many_partitions_are_written_in_few_files(spark):
+    rows = common.materialise(spark.range(0, 300, 1, 300), "many")
+    files = len(rows.inputFiles())
+    assert files <= max(common.LEAST_FILES, common.FILES_A_CORE * spark.sparkContext.defaultParallelism)
+    assert sorted(r.id for r in rows.collect()) == list(range(300))
+
+
 # ---- 1: audio
 
 
