@@ -13,7 +13,9 @@ Recordings of equal samples are one class and align with the earliest of it, how
 that one alone is compared with others. Links are sought in two passes. First every recording is compared with the
 earliest holder of each of its landmarks, whose rows stay linear in the input however many near copies a recording has.
 Components of those links follow; then all holders of a landmark that lie in different components are compared, on all
-landmarks that they share. So every link not returned joins two recordings of one component, and components are those of all links.
+landmarks that they share. As there may be as many of those pairs as the square of the recordings, they are taken in rounds of
+growing shares, and components are found anew after each: pairs that a round has joined are not compared in the next.
+So every link not returned joins two recordings of one component, and components are those of all links.
 
 An earliest holder of very many recordings is dealt over salts where fingerprints are joined.
 
@@ -31,6 +33,7 @@ import struct
 import wave
 from collections.abc import Iterator
 from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +56,10 @@ EDGE_ERRORS, SHORT_ERRORS, MOST_ERRORS, LONG_PLACES, LEAST_PLACES = 0.2, 0.05, 0
 SLICE_SAMPLES, CHUNK = 4 << 20, 256
 #: Buckets for each shuffle partition; bytes of landmarks that a map task packs at once, and that a reducer takes together.
 BUCKETS_A_PARTITION, FLUSH_BYTES, GROUP_BYTES = 8, 64 << 20, 16 << 20
-#: Parts of the pairs that fingerprints are joined to one after another; votes of pairs that are made at once.
+#: Least parts of the pairs that fingerprints are joined to one after another; votes of pairs that are made at once.
 PARTS, VOTES = 4, 1 << 20
+#: Recordings of a class in the first round of the second pass, at most, and how many classes become one in the next, until all are one.
+CLASS_IDS, MERGED = 1 << 14, 4
 
 
 def decode_wav(raw: bytes, rate: int = RATE) -> np.ndarray:
@@ -220,11 +225,16 @@ def _open_votes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(np.frombuffer(blob, np.int64, n, 8)), np.frombuffer(blob, np.int64, n, 8 + 8 * n), np.frombuffer(blob, np.int32, n, 8 + 16 * n)
 
 
-def votes_of(prints: DataFrame, labelled: bool = False) -> DataFrame:
-    """id, aligned_id, shifts, votes: the pairs and shifts worth a comparison.
+def class_of(ids: np.ndarray, classes: int) -> np.ndarray:
+    return mix(ids.astype(np.uint64)) % np.uint64(classes)
+
+
+def votes_of(prints: DataFrame, labelled: bool = False, classes: int = 1, done: int = 0) -> DataFrame:
+    """id, aligned_id, shifts, votes, need: the pairs and shifts worth a comparison, and as bits the phases of id that it needs.
 
     A landmark votes for how many samples later it lies in the later of two holders: in its earliest holder and each other
-    one or, if `labelled`, in any two of different labels. Votes go in packed buckets of ids.
+    one or, if `labelled`, in any two of different labels and of one of `classes` of ids, but not of one of the `done` finer
+    classes, whose pairs are compared already. Votes go in packed buckets of ids.
     """
     n_buckets = BUCKETS_A_PARTITION * shuffle_partitions(prints.sparkSession)
 
@@ -250,10 +260,14 @@ def votes_of(prints: DataFrame, labelled: bool = False) -> DataFrame:
         for blobs in bucket_groups(batches, GROUP_BYTES, numbered=True):
             parts = [(np.full(len(c[0]), bucket), *c) for bucket, blob in blobs for c in [_unpack(blob, 1 + labelled)]]
             bucket, keys, places, ids, *labels = (np.concatenate(c) for c in zip(*parts, strict=True))
-            order = np.lexsort((ids, keys, bucket))
-            bucket, keys, places, ids, labels = bucket[order], keys[order], places[order], ids[order], [x[order] for x in labels]
-            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (bucket[1:] != bucket[:-1])])
+            own = class_of(ids, classes)
+            order = np.lexsort((ids, own, keys, bucket))
+            bucket, keys, own, places, ids, labels = bucket[order], keys[order], own[order], places[order], ids[order], [x[order] for x in labels]
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (bucket[1:] != bucket[:-1]) | (own[1:] != own[:-1])])
+            finer = class_of(ids, done) if done else ids
             for first, later in across(new, labels[0]) if labelled else [to_earliest(new, ids)]:
+                fresh = finer[first] != finer[later]
+                first, later = first[fresh], later[fresh]
                 x, y, shift = ids[later], ids[first], places[later] - places[first]
                 if not len(x):
                     continue
@@ -267,24 +281,30 @@ def votes_of(prints: DataFrame, labelled: bool = False) -> DataFrame:
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in bucket_groups(batches, GROUP_BYTES):
             x, y, shift = (np.concatenate(c) for c in zip(*map(_open_votes, blobs), strict=True))
-            order = np.lexsort((y, x))
+            order = np.lexsort((shift, y, x))
             x, y, shift = x[order], y[order], shift[order]
             cut = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
             ends = np.append(cut[1:], len(x))
+            wide = LEAST_VOTES - 1  # pairs without so many votes within a hop have no shift below
+            near = np.zeros(len(x), bool)
+            n = max(0, len(x) - wide)
+            near[:n] = (x[wide:] == x[:n]) & (y[wide:] == y[:n]) & (shift[wide:] - shift[:n] <= HOP)
+            some = np.logical_or.reduceat(near, cut)
             rows, chosen = [], []
-            for a, b in zip(cut[ends - cut >= LEAST_VOTES].tolist(), ends[ends - cut >= LEAST_VOTES].tolist(), strict=True):
+            for a, b in zip(cut[some].tolist(), ends[some].tolist(), strict=True):
                 found = best_shifts(shift[a:b])
                 if found:
                     rows.append(a)
                     chosen.append(found)
             if rows:
                 columns = [pa.array([[f[k] for f in c] for c in chosen], pa.list_(pa.int32())) for k in range(2)]
-                yield pa.RecordBatch.from_arrays([pa.array(x[rows]), pa.array(y[rows]), *columns], names=["id", "aligned_id", "shifts", "votes"])
+                need = pa.array([reduce(or_, (1 << phases_of(f[0])[0] for f in c)) for c in chosen], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(x[rows]), pa.array(y[rows]), *columns, need], names=["id", "aligned_id", "shifts", "votes", "need"])
 
     kind = "bucket int, blob binary"
     posted = prints.select("id", F.col("label") if labelled else F.col("id").alias("label"), "phases")
     votes = to_buckets(posted.transform(map_arrow, post, kind)).transform(map_arrow, meet, kind)
-    return to_buckets(votes).transform(map_arrow, choose, "id long, aligned_id long, shifts array<int>, votes array<int>")
+    return to_buckets(votes).transform(map_arrow, choose, "id long, aligned_id long, shifts array<int>, votes array<int>, need int")
 
 
 def to_earliest(new: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -296,20 +316,22 @@ def to_earliest(new: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def across(new: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows of any two holders of different labels, the earlier first, of lists that begin at `new`; about VOTES at once."""
-    starts = np.flatnonzero(new)
-    sizes = np.diff(np.append(starts, len(new)))
-    mixed = np.add.reduceat(labels != np.repeat(labels[starts], sizes), starts) > 0
-    starts, sizes = starts[mixed], sizes[mixed]
-    for size in np.unique(sizes).tolist():
-        own = starts[sizes == size]
-        step = max(1, VOTES // (size * size))
-        for k in range(0, len(own), step):
-            lists = own[k : k + step, None]
-            for lo in range(0, size, max(1, VOTES // size)):  # a list too long for one go: some of its rows against all
-                i, j = np.nonzero(np.arange(lo, min(size, lo + max(1, VOTES // size)))[:, None] < np.arange(size))
-                first, later = (lists + i + lo).ravel(), (lists + j).ravel()
-                apart = labels[first] != labels[later]
-                yield first[apart], later[apart]
+    lists = np.cumsum(new)
+    order = np.lexsort((labels, lists))
+    lists, labels = lists[order], labels[order]
+    ends = np.append(np.flatnonzero(lists[1:] != lists[:-1]) + 1, len(lists))
+    cuts = np.append(np.flatnonzero((lists[1:] != lists[:-1]) | (labels[1:] != labels[:-1])) + 1, len(lists))
+    at = np.arange(len(lists))
+    after = cuts[np.searchsorted(cuts, at, "right")]  # of each row those of other labels, up to the end of its list
+    total = np.concatenate([[0], np.cumsum(ends[np.searchsorted(ends, at, "right")] - after)])
+    lo = 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + VOTES, "right")) - 1)
+        one = np.repeat(at[lo:hi], np.diff(total[lo : hi + 1]))
+        other = order[after[one] + np.arange(total[lo], total[hi]) - total[one]]
+        one = order[one]
+        yield np.minimum(one, other), np.maximum(one, other)
+        lo = hi
 
 
 #: The phases of two recordings that meet at a shift, by its rest modulo HOP: of several the first.
@@ -346,7 +368,10 @@ def best_shifts(cast: np.ndarray) -> list[tuple[int, int]]:
 
 
 def compared(pairs: DataFrame, own: DataFrame, most_errors: float) -> list[DataFrame]:
-    """id, aligned_id, shift, votes, bit_errors, bits of the pairs that align, in PARTS written tables; `pairs` is a written table, dropped."""
+    """id, aligned_id, shift, votes, bit_errors, bits of the pairs that align, in written tables, one a part; `pairs` is a written table, dropped.
+
+    The later recording goes to a pair without the phases that no shift needs. Those of a part take as many bytes as all of `own` at most, about.
+    """
 
     def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -370,10 +395,14 @@ def compared(pairs: DataFrame, own: DataFrame, most_errors: float) -> list[DataF
                 yield pa.RecordBatch.from_arrays([*ids, *numbers], names=["id", "aligned_id", "shift", "votes", "bit_errors", "bits"])
 
     hot, found = hot_keys(pairs, "aligned_id"), []
-    for part in range(PARTS):  # so that the shuffle files of one part of the pairs lie on disk at a time
-        mine = F.pmod(F.xxhash64("aligned_id"), F.lit(PARTS)) == part
-        left = pairs.where(mine).join(own, "id").withColumnRenamed("phases", "x")
-        other = own.select(F.col("id").alias("aligned_id"), F.col("phases").alias("y")).where(mine)
+    sent = pairs.join(own.select("id", "size"), "id").agg(F.sum(F.bit_count("need") * F.col("size"))).first()[0] or 0
+    whole = own.agg(F.sum(len(PHASES) * F.col("size"))).first()[0] or 1
+    parts = max(PARTS, -(-sent // whole))
+    needed = F.expr("transform(phases, (p, i) -> if((shiftright(need, i) & 1) = 1, p, X''))")
+    for part in range(parts):  # so that the shuffle files of one part of the pairs lie on disk at a time
+        mine = F.pmod(F.xxhash64("id"), F.lit(parts)) == part
+        left = pairs.where(mine).join(own.where(mine), "id").withColumn("x", needed).drop("phases", "size")
+        other = own.select(F.col("id").alias("aligned_id"), F.col("phases").alias("y"))
         both = join_spread(left, other, "aligned_id", "id", hot).select("id", "aligned_id", "shifts", "votes", "x", "y")
         found.append(materialise(both.transform(map_arrow, errors, "id long, aligned_id long, shift int, votes long, bit_errors long, bits long"), "compared"))
     drop(pairs)
@@ -387,7 +416,7 @@ def align(prints: DataFrame, most_errors: float = MOST_ERRORS, spent: bool = Fal
     s - shift of the aligned one, which is place p - offset for place p, to the nearest place; bits are those of the
     matching segment. A recording of the very samples of an earlier one has one row, with no votes:
     what else it lines up with is what the earliest of its class does. Rows without an alignment are left out; the
-    components of the rows are those of all alignments, though two near copies of an earlier recording may have no row of their own.
+    components of the rows are those of all alignments, though two recordings of one component may have no row of their own.
     """
     keyed = prints.where("id IS NOT NULL AND content IS NOT NULL").select("id", "content", F.octet_length("fp").alias("size"))
     single = materialise(keyed.groupBy("id").agg(F.min(F.struct("content", "size")).alias("p")).select("id", "p.content", "p.size"), "contents")
@@ -396,14 +425,21 @@ def align(prints: DataFrame, most_errors: float = MOST_ERRORS, spent: bool = Fal
     copies = copies.select("id", F.col("first").alias("aligned_id"), F.lit(0).alias("shift"), F.lit(0).cast("long").alias("votes"), F.lit(0).cast("long").alias("bit_errors"), (8 * F.col("size")).cast("long").alias("bits"))
     ids = first.select(F.col("first").alias("id"), "content")
     phases = F.concat(F.array("fp"), F.col("late")).alias("phases")
-    own = materialise(prints.where("octet_length(fp) > 4").join(ids, ["id", "content"], "left_semi").dropDuplicates(["id", "content"]).select("id", phases), "own-prints")
+    own = materialise(prints.where("octet_length(fp) > 4").join(ids, ["id", "content"], "left_semi").dropDuplicates(["id", "content"]).select("id", phases, F.octet_length("fp").alias("size")), "own-prints")
     if spent:
         drop(prints)
     found = compared(materialise(votes_of(own), "pairs"), own, most_errors)
-    labels = components(reduce(DataFrame.union, found).select(F.col("id").alias("a"), F.col("aligned_id").alias("b")))
-    labelled = own.join(labels.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left").select("id", F.coalesce("label", "id").alias("label"), "phases")
-    found += compared(materialise(votes_of(labelled, True), "pairs"), own, most_errors)
-    drop(own, labels)
+    n, classes, done = own.count(), 1, 0
+    while n > CLASS_IDS * classes:
+        classes *= MERGED
+    while classes:
+        labels = components(reduce(DataFrame.union, found).select(F.col("id").alias("a"), F.col("aligned_id").alias("b")))
+        labelled = own.join(labels.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left").select("id", F.coalesce("label", "id").alias("label"), "phases")
+        pairs = materialise(votes_of(labelled, True, classes, done), "pairs")
+        drop(labels)
+        found += compared(pairs, own, most_errors)
+        classes, done = classes // MERGED, classes
+    drop(own)
     out = reduce(DataFrame.union, found).unionByName(copies)
     return out.select("id", "aligned_id", F.floor(F.col("shift") / HOP + 0.5).cast("int").alias("offset"), "shift", "votes", "bit_errors", "bits")
 

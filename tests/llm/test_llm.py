@@ -609,6 +609,61 @@ def test_pairs_across_labels(monkeypatch):
         assert sorted((i, j) for x, y in audio.across(new, labels) for i, j in zip(x.tolist(), y.tolist(), strict=True)) == want
 
 
+def passages_held_later(rng, n):
+    """Recordings 1000 to 1000 + n of one passage, whose landmarks others hold first, so that all of their pairs are left to the second pass."""
+    passage, least = pcm(rng, 2600), audio.FRAME + audio.WINDOW * audio.HOP
+    mine = [passage + pcm(rng, 1500) for _ in range(n)]
+    snippets = [mine[0][a : a + least] for p in audio.PHASES for a in range(p, len(passage), audio.HOP)]
+    return [*enumerate(snippets), *((1000 + k, t) for k, t in enumerate(mine))]
+
+
+def test_pairs_that_a_round_has_joined_are_not_compared(spark, monkeypatch):
+    rows, made = passages_held_later(random.Random(16), 24), []
+    plain = audio.materialise
+
+    def noted(df, name):
+        out = plain(df, name)
+        if name == "pairs":
+            made.append(out.count())
+        return out
+
+    def components(class_ids):
+        made.clear()
+        monkeypatch.setattr(audio, "CLASS_IDS", class_ids, raising=False)
+        reach = {k: {k} for k, _ in rows}
+        for r in alignments(spark, rows):
+            both = reach[r.id] | reach[r.aligned_id]
+            reach.update(dict.fromkeys(both, both))
+        return reach, sum(made[1:])
+
+    monkeypatch.setattr(audio, "materialise", noted)
+    (want, whole), (got, rounds) = components(len(rows)), components(len(rows) // 3)
+    assert got == want and set(range(1000, 1024)) <= got[1000]
+    assert 0 < rounds < whole
+
+
+def test_rounds_take_every_pair_once(spark):
+    rows = passages_held_later(random.Random(17), 12)
+    prints = audio.fingerprint(spark.createDataFrame(rows, "id long, audio binary"), "pcm8")
+    own = prints.selectExpr("id", "id as label", "concat(array(fp), late) as phases").persist()
+
+    def pairs(*round_):
+        return [(r.id, r.aligned_id, tuple(r.shifts)) for r in audio.votes_of(own, True, *round_).collect()]
+
+    whole, rounds = pairs(), [pairs(16), pairs(4, 16), pairs(1, 4)]
+    assert len(whole) >= 66 and sorted(sum(rounds, [])) == sorted(whole) and all(rounds[1:])
+
+
+def test_parts_grow_with_the_pairs(spark, monkeypatch):
+    """The fingerprints of one part of the pairs are no more than those of all recordings, about."""
+    rows = passages_held_later(random.Random(18), 24)
+    own = audio.fingerprint(spark.createDataFrame(rows, "id long, audio binary"), "pcm8").selectExpr("id", "id as label", "concat(array(fp), late) as phases", "octet_length(fp) as size").persist()
+    pairs = audio.materialise(audio.votes_of(own, True), "pairs")
+    monkeypatch.setattr(audio, "PARTS", 1)
+    found = audio.compared(pairs, own, audio.MOST_ERRORS)
+    assert len(found) > 1 and sum(f.count() for f in found) >= 276
+
+
 def test_components_of_recordings(spark, tmp_path):
     rng = random.Random(14)
     a, b, c = (pcm(rng, 4000).decode() for _ in range(3))
