@@ -68,6 +68,15 @@ def merge(test: Column, yes: Val, no: Val) -> Val:
     return Val(F.when(test, side(yes)).otherwise(side(no)), T.VariantType())
 
 
+def _or_else(a: Val, b: Val) -> Val:
+    """The first, or the second where it is nil."""
+    if a.never_null:
+        return a
+    if a.dtype == b.dtype and a.kind not in ("null", "any") and a.origin is None and b.origin is None:
+        return Val(F.coalesce(a.col, b.col), a.dtype, b.never_null)  # once, not to test it and to give it
+    return merge(a.is_nil(), b, a)
+
+
 def strict_equal(a: Val, b: Val) -> Column:
     if a.kind == "null":
         return b.is_nil()
@@ -177,7 +186,7 @@ class Lowerer:
         if n.op in ("&&", "||"):
             return boolean(a.condition() & b.condition() if n.op == "&&" else a.condition() | b.condition())
         if n.op == "or":
-            return a if a.never_null else merge(a.is_nil(), b, a)
+            return _or_else(a, b)
         if n.op == "in":
             return boolean(member(a, b))
         raise NotLowerable(n.op)
@@ -557,8 +566,31 @@ def _find_all(pattern: Val, v: Val) -> Val:
     rule = q(pattern).replace("(?P<", "(?<")
     groups = _re.compile(_re.sub(r"\(\?<(?=[A-Za-z])", "(?P<", rule)).groups
     found = [F.regexp_extract_all(s(v), F.lit(rule), F.lit(k)) for k in range(groups + 1)]
-    rows = F.transform(found[0], lambda x, i: F.array(x, *(F.get(g, i) for g in found[1:])))
-    return Val(rows, T.ArrayType(T.ArrayType(STR)), True)
+    return _Matches(found)
+
+
+class _Matches(Val):
+    """Matches of a pattern, of which each is an array of its groups; made of an array for each group, so that a part asks for its own alone."""
+
+    def __init__(self, found: list[Column]) -> None:
+        self.found = found
+        if len(found) == 1:
+            rows = F.transform(found[0], lambda x: F.array(x))
+        else:  # zipped, since what stands in a lambda is computed for each element: all matches of the text for each match
+            rows = F.transform(F.arrays_zip(*(g.alias(f"g{k}") for k, g in enumerate(found))), lambda x: F.array(*(x[f"g{k}"] for k in range(len(found)))))
+        super().__init__(rows, T.ArrayType(T.ArrayType(STR)), True)
+
+    def at(self, index: int) -> Val:
+        return _Match(self, index) if index >= 0 else super().at(index)
+
+
+class _Match(Val):
+    def __init__(self, of: _Matches, index: int) -> None:
+        self.of, self.index = of, index
+        super().__init__(F.get(of.col, index), T.ArrayType(STR))
+
+    def at(self, index: int) -> Val:
+        return Val(F.get(self.of.found[index], self.index), STR) if 0 <= index < len(self.of.found) else super().at(index)
 
 
 def _len(v: Val) -> Val:
@@ -725,7 +757,7 @@ CALLS: dict[str, Callable[..., Val]] = {
     "sqrt": lambda a: num(F.sqrt(as_double(a))), "log10": lambda a: num(F.coalesce(F.log10(as_double(a)), F.when(as_double(a) == 0, float("-inf")).otherwise(float("nan")))),
     "eq": lambda a, b: boolean(strict_equal(a, b)), "neq": lambda a, b: boolean(~strict_equal(a, b)), "eqs": _eqs, "neqs": lambda a, b: boolean(~_eqs(a, b).col),
     "lt": lambda a, b: boolean(compare("<", a, b)), "lte": lambda a, b: boolean(compare("<=", a, b)), "gt": lambda a, b: boolean(compare(">", a, b)), "gte": lambda a, b: boolean(compare(">=", a, b)),
-    "not": lambda a: boolean(~a.condition()), "and": lambda *a: boolean(reduce(lambda x, y: x & y, (v.condition() for v in a))), "or": _first_truthy, "orr": lambda a, b: merge(a.is_nil(), b, a),
+    "not": lambda a: boolean(~a.condition()), "and": lambda *a: boolean(reduce(lambda x, y: x & y, (v.condition() for v in a))), "or": _first_truthy, "orr": _or_else,
     "inn": lambda x, *g: boolean(reduce(lambda a, b: a | b, (member(x, y) for y in g))), "is_empty": _is_empty,
     "string": _string, "number": lambda v: num(v.rule_number_of()), "bool": lambda v: boolean(v.rule_bool_of()), "boolean": lambda v: boolean(v.rule_bool_of()),
     "int": lambda v: num(F.coalesce(as_double(v).try_cast("bigint").cast("double"), as_double(v))), "bytes": lambda v: binary(_bytes_of(v)), "type": _type, "len": _len,

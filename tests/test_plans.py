@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from docloom.operators.rules import Rule
 from docloom.operators.validate import Validator
 from docloom.queries import QUERIES
 
@@ -42,3 +43,19 @@ def test_columns_not_asked_for_are_not_made(spark):
 def test_queries_parse_once(spark, tmp_path):
     spark.createDataFrame([(1, "click", 2.5, 7)], "event_id long, event_type string, value double, user_id long").write.parquet(str(tmp_path / "events.parquet"))
     assert parses(QUERIES["v_type_required"](spark, str(tmp_path))) == parses(QUERIES["flagship"](spark, str(tmp_path))) == 1
+
+
+def test_matches_are_found_once_for_a_text(spark):
+    df = spark.createDataFrame([("singing of 12 kings, walking",), ("none",), (None,), ("ring",)], "s string").coalesce(1)
+    rows, first = (df.select(Rule(text).column(df).alias("v")) for text in (r"regfind('([a-z]+)(ing)\\b', s)", r"regfind('([a-z]+)(ing)\\b', s)[0][1] or 'none'"))
+    assert "regexp_extract_all" not in plan(rows).split("lambdafunction(", 1)[1]  # there it is computed for each match
+    assert plan(first).count("regexp_extract_all(") == 1
+    assert [r.v for r in rows.collect()] == [[["singing", "sing", "ing"], ["walking", "walk", "ing"]], [], [], [["ring", "r", "ing"]]]
+    assert [r.v for r in first.collect()] == ["sing", "none", "none", "r"]
+
+
+def test_other_parts_of_a_match(spark):
+    df = spark.createDataFrame([("a1 b2",), ("",)], "s string").coalesce(1)
+    for text, want in (("regfind('([a-z])([0-9])', s)[1]", [["b2", "b", "2"], None]), ("regfind('([a-z])([0-9])', s)[1][2]", ["2", None]), ("regfind('([a-z])([0-9])', s)[1][7]", [None, None]),
+                       ("regfind('[a-z]', s)[1][0]", ["b", None]), ("regfind('[a-z]', s).len()", [2.0, 0.0]), ("regfind('[a-z]', s)[7] or s.split(' ')", [["a1", "b2"], [""]])):
+        assert [r.v for r in df.select(Rule(text).column(df).alias("v")).collect()] == want, text
