@@ -41,6 +41,11 @@ def parse_double(c: Column) -> Column:
     return F.when(c.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), c.try_cast("double"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """What `body` makes of a value that is computed once, however often it is named and in whatever lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -139,7 +144,7 @@ class Val:
         if self.origin is not None:
             return self.origin.array()
         if self.kind == "any":
-            return F.when(self.is_array(), self.col.try_cast("array<variant>")), T.VariantType()
+            return self.col.try_cast("array<variant>"), T.VariantType()
         if self.kind == "arr":
             return self.col, self.dtype.elementType
         return F.lit(None).cast("array<variant>"), T.VariantType()
@@ -152,7 +157,7 @@ class Val:
     def map(self) -> Column:
         """map<string,variant> of an object, NULL for another kind."""
         if self.kind == "any":
-            return F.when(self.is_object(), self.col.try_cast("map<string,variant>"))
+            return self.col.try_cast("map<string,variant>")
         if self.kind == "obj":
             if isinstance(self.dtype, T.MapType) and isinstance(self.dtype.valueType, T.VariantType):
                 return self.col
@@ -242,7 +247,7 @@ class Val:
             whole = isinstance(self.dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
             return F.coalesce(self.col.cast("string") if whole else format_double(self.col.cast("double")), F.lit(""))
         if k == "any":
-            scalar = F.coalesce(self.string(), self.boolean().cast("string"), format_double(self.number()))
+            scalar = F.coalesce(self.string(), self.boolean().cast("string"), let(self.number(), format_double))
             return F.when(self.is_nil(), F.lit("")).otherwise(F.coalesce(scalar, self.variant().cast("string")))
         if k == "time":
             return F.coalesce(self.col.cast("string"), F.lit(""))
@@ -326,6 +331,16 @@ def without_keys(value: Val, names: list[Column]) -> Val:
     return Val(F.map_filter(value.col, lambda k, _: ~k.isin(*names)), MAP, origin=value.origin)
 
 
+def tagged(value: Val, body: Callable[[Val], Column]) -> Column:
+    """What `body` makes of a VARIANT whose kind is found once."""
+    def known(tag: Column) -> Column:
+        out = Val(value.col, value.dtype, value.never_null, value.const)
+        out.tag = tag
+        return body(out)
+
+    return let(F.schema_of_variant(value.col), known)
+
+
 def literal(value) -> Val:
     made = _literal(plain(value))
     made.const = plain(value)
@@ -348,4 +363,4 @@ def of(col: Column, dtype: T.DataType) -> Val:
     return Val(col, dtype)
 
 
-__all__ = ["NotLowerable", "Val", "format_double", "format_float", "literal", "as_object", "constant_of", "of", "parse_double", "string_of", "with_key", "without_keys"]
+__all__ = ["NotLowerable", "Val", "format_double", "format_float", "let", "literal", "tagged", "as_object", "constant_of", "of", "parse_double", "string_of", "with_key", "without_keys"]

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from docloom.functions import gotime
 from docloom.functions.templates import div_column
 from docloom.functions.values import ABSENT, Flags, string_of
-from docloom.plans.columns import NotLowerable, Val, constant_of, literal
+from docloom.plans.columns import NotLowerable, Val, constant_of, let, literal, tagged
 from docloom.plans.rules import parser as p
 
 STR, NUM, BOOL, BIN, TIME = T.StringType(), T.DoubleType(), T.BooleanType(), T.BinaryType(), T.TimestampType()
@@ -663,15 +663,18 @@ def _map_filter(keep: bool):
 
 
 def _map_text(v: Val, a: Val, b: Val) -> Val:
-    pairs = F.transform(F.array_sort(v.keys()), lambda k: F.concat(k, F.lit(q(a)), Val(F.try_element_at(v.map(), k), T.VariantType()).string_of()))
+    by_key = lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0)
+    pairs = F.transform(F.array_sort(F.map_entries(v.map()), by_key), lambda e: F.concat(e["key"], F.lit(q(a)), let(e["value"], lambda x: tagged(Val(x, T.VariantType()), lambda y: y.string_of()))))
     return text(F.array_join(pairs, q(b)))
 
 
 def _merge_maps(v: Val, *others: Val) -> Val:
+    def onto(out: Column) -> Callable[[Column], Column]:
+        return lambda more: F.map_concat(F.map_filter(out, lambda k, _: ~F.map_contains_key(more, k)), more)
+
     out = v.map()
     for o in others:
-        more = F.coalesce(o.map(), F.create_map().cast("map<string,variant>"))
-        out = F.map_concat(F.map_filter(out, lambda k, _: ~F.map_contains_key(more, k)), more)
+        out = let(F.coalesce(o.map(), F.create_map().cast("map<string,variant>")), onto(out))
     return Val(out, T.MapType(STR, T.VariantType()))
 
 

@@ -59,3 +59,17 @@ def test_other_parts_of_a_match(spark):
     for text, want in (("regfind('([a-z])([0-9])', s)[1]", [["b2", "b", "2"], None]), ("regfind('([a-z])([0-9])', s)[1][2]", ["2", None]), ("regfind('([a-z])([0-9])', s)[1][7]", [None, None]),
                        ("regfind('[a-z]', s)[1][0]", ["b", None]), ("regfind('[a-z]', s).len()", [2.0, 0.0]), ("regfind('[a-z]', s)[7] or s.split(' ')", [["a1", "b2"], [""]])):
         assert [r.v for r in df.select(Rule(text).column(df).alias("v")).collect()] == want, text
+
+
+def test_maps_are_made_once(spark):
+    """What stands in a lambda is computed for each key: no document is parsed there."""
+    rows = [('{"k": 1, "b": "x", "a": [1, {"z": null}], "n": null, "d": -2.50, "t": true, "big": 1e30}', "v"), ("{}", None), ("[1]", "v"), ("no json", "v"), (None, "v"), ('"{}"', "v"), ("null", "v")]
+    df = spark.createDataFrame(rows, "j string, s string").coalesce(1)
+    programs = {"text": "to_json_obj(j).merge({t: s}).to_string('=', '&')", "two": "to_json_obj(j).merge(to_json_obj(j)).keys()", "same": "to_json_obj(j).exclude('k').merge(to_json_obj(j)).equals(to_json_obj(j))"}
+    done = df.select(*(Rule(text).column(df).alias(name) for name, text in programs.items()))
+    for name, parsed in (("text", 1), ("two", 2), ("same", 3)):
+        assert plan(done.select(name)).count("parsejson(") + plan(done.select(name)).count("parse_json(") == parsed, name
+    got = done.collect()
+    assert got[0].text == "a=[1,{\"z\":null}]&b=x&big=1000000000000000000000000000000&d=-2.5&k=1&n=&t=v" and got[1].text == "t="
+    assert got[0].two == ["a", "b", "big", "d", "k", "n", "t"] and got[1].two == []
+    assert [r.same for r in got[:2]] == [True, True] and [r.text for r in got[2:]] == [None] * 5
