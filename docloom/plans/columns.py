@@ -247,6 +247,8 @@ class Val:
             whole = isinstance(self.dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
             return F.coalesce(self.col.cast("string") if whole else format_double(self.col.cast("double")), F.lit(""))
         if k == "any":
+            if self.tag is None:
+                return let(self.col, lambda v: tagged(Val(v, self.dtype), lambda x: x.string_of()))
             scalar = F.coalesce(self.string(), self.boolean().cast("string"), let(self.number(), format_double))
             return F.when(self.is_nil(), F.lit("")).otherwise(F.coalesce(scalar, self.variant().cast("string")))
         if k == "time":
@@ -321,14 +323,20 @@ def as_object(value: Val) -> Val:
 
 def with_key(value: Val, name: Column | str, new: Val, when: Column | None = None) -> Val:
     """The object with a key written, where `when` holds."""
-    name = F.lit(name) if isinstance(name, str) else name
-    entry = F.create_map(name, F.coalesce(new.variant(), F.parse_json(F.lit("null"))))
-    out = F.map_concat(F.map_filter(value.col, lambda k, _: k != name), entry)
+    entry = F.create_map(F.lit(name) if isinstance(name, str) else name, F.coalesce(new.variant(), F.parse_json(F.lit("null"))))
+    if isinstance(name, str):
+        out = F.map_concat(F.map_filter(value.col, lambda k, _: k != name), entry)
+    else:  # a key that only the row knows is made once, not for each key that it is compared with
+        out = let(entry, lambda e: F.map_concat(F.map_filter(value.col, lambda k, _: ~F.map_contains_key(e, k)), e))
     return Val(out if when is None else F.when(when, out).otherwise(value.col), MAP, origin=value.origin)
 
 
-def without_keys(value: Val, names: list[Column]) -> Val:
-    return Val(F.map_filter(value.col, lambda k, _: ~k.isin(*names)), MAP, origin=value.origin)
+def without_keys(value: Val, names: list[Column | str]) -> Val:
+    """The object without some keys."""
+    if all(isinstance(n, str) for n in names):
+        return Val(F.map_filter(value.col, lambda k, _: ~k.isin(*names)), MAP, origin=value.origin)
+    made = F.array(*(F.lit(n) if isinstance(n, str) else n for n in names))
+    return Val(let(made, lambda gone: F.map_filter(value.col, lambda k, _: ~F.array_contains(gone, k))), MAP, origin=value.origin)
 
 
 def tagged(value: Val, body: Callable[[Val], Column]) -> Column:

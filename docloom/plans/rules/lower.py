@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from docloom.functions import gotime
 from docloom.functions.templates import div_column
 from docloom.functions.values import ABSENT, Flags, string_of
-from docloom.plans.columns import NotLowerable, Val, constant_of, let, literal, tagged
+from docloom.plans.columns import NotLowerable, Val, constant_of, let, literal
 from docloom.plans.rules import parser as p
 
 STR, NUM, BOOL, BIN, TIME = T.StringType(), T.DoubleType(), T.BooleanType(), T.BinaryType(), T.TimestampType()
@@ -664,7 +664,7 @@ def _map_filter(keep: bool):
 
 def _map_text(v: Val, a: Val, b: Val) -> Val:
     by_key = lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0)
-    pairs = F.transform(F.array_sort(F.map_entries(v.map()), by_key), lambda e: F.concat(e["key"], F.lit(q(a)), let(e["value"], lambda x: tagged(Val(x, T.VariantType()), lambda y: y.string_of()))))
+    pairs = F.transform(F.array_sort(F.map_entries(v.map()), by_key), lambda e: F.concat(e["key"], F.lit(q(a)), Val(e["value"], T.VariantType()).string_of()))
     return text(F.array_join(pairs, q(b)))
 
 

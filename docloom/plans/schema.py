@@ -117,6 +117,11 @@ class Lowering:
             raise NotLowerable("a write inside an array")
         return Val(self._bind([value.col])[0], value.dtype, value.never_null, value.const, value.origin)
 
+    def written(self, value: Val) -> Val:
+        """The value as an object to be written to, which is made once for all that read it."""
+        out = as_object(value)
+        return out if out is value else self.bind(out)
+
     def once(self, values: list[Val]) -> list[Val]:
         """The values with VARIANTs, and what kind they are, computed once for all that ask."""
         at = [k for k, v in enumerate(values) if v.kind == "any" and v.tag is None and v.origin is None]
@@ -1529,7 +1534,7 @@ class DefaultVals(Write):
                     value[k] = copy.deepcopy(v)
 
     def lower(self, low: Lowering, value: Val) -> tuple[Val, Errors]:
-        out = as_object(value)
+        out = low.written(value) if self.values_ else as_object(value)
         for k, v in self.values_.items():
             out = low.bind(with_key(out, k, literal(v), ~out.has(k)))
         return out, Errors()
@@ -1565,7 +1570,7 @@ class SetVal(Write):
                 p.set(value, new)
 
     def lower(self, low: Lowering, value: Val) -> tuple[Val, Errors]:
-        out = as_object(value)
+        out = low.written(value) if self.pairs else as_object(value)
         for p, t in self.pairs:
             new = t.lower(out, low.flags)
             after = set_column(low, out, p.steps, new)
@@ -1598,7 +1603,7 @@ class SetExpr(Write):
                 value[string_of(k.get(value, ctx.flags))] = new
 
     def lower(self, low: Lowering, value: Val) -> tuple[Val, Errors]:
-        out = as_object(value)
+        out = low.written(value) if self.pairs else as_object(value)
         for k, t in self.pairs:
             out = low.bind(with_key(out, k.lower(out, low.flags).string_of(), t.lower(out, low.flags)))
         return out, Errors()
@@ -1627,7 +1632,7 @@ class MapWrite(Write):
                 value[key] = t.get(value, ctx.flags)
 
     def lower(self, low: Lowering, value: Val) -> tuple[Val, Errors]:
-        out = as_object(value)
+        out = low.written(value) if self.pairs else as_object(value)
         for k, t in self.pairs:
             key = k.lower(out, low.flags).string_of()
             out = low.bind(without_keys(out, [key]) if self.delete else with_key(out, key, t.lower(out, low.flags)))
@@ -1657,7 +1662,7 @@ class Delete(Write):
                 value.pop(n, None)
 
     def lower(self, low: Lowering, value: Val) -> tuple[Val, Errors]:
-        return low.bind(without_keys(as_object(value), [F.lit(n) for n in self.names])), Errors()
+        return low.bind(without_keys(as_object(value), self.names)), Errors()
 
 
 @keyword("delete")

@@ -73,3 +73,13 @@ def test_maps_are_made_once(spark):
     assert got[0].text == "a=[1,{\"z\":null}]&b=x&big=1000000000000000000000000000000&d=-2.5&k=1&n=&t=v" and got[1].text == "t="
     assert got[0].two == ["a", "b", "big", "d", "k", "n", "t"] and got[1].two == []
     assert [r.same for r in got[:2]] == [True, True] and [r.text for r in got[2:]] == [None] * 5
+
+
+def test_keys_of_the_row_are_made_once(spark):
+    rows = [("click", 2.5, 7), ("n_7", None, 7), ("value", 1.0, 0), (None, 1e30, None)]
+    df = spark.createDataFrame(rows, "kind string, value double, m long").coalesce(1).select("m", F.struct("kind", "value", "m").alias("doc"))
+    spec = Validator({"setExpr": {"${kind}": "${value}", "n_${m}": "${m}"}, "setMap": {"gone": 1}, "del": {"gone": "", "${m}": ""}, "delete": ["kind", "m"]})
+    done = spec.apply(df, "doc")
+    assert plan(done).count("schema_of_variant(") + plan(done).count("schemaofvariant(") <= 4  # once for each template that is written as text
+    for row, got in zip(rows, done.select(F.to_json("doc")).collect(), strict=True):
+        assert json.loads(got[0]) == spec.check(dict(zip(("kind", "value", "m"), row, strict=True)))[0]
